@@ -166,7 +166,8 @@ def _in_blocks(rows: DataFrame, queries: DataFrame, keys: list[str], sizes: Data
         df = df.join(F.broadcast(sizes), keys) if keys else df.crossJoin(F.broadcast(sizes))
         df = df.withColumn(own, F.pmod(F.xxhash64("id"), F.col(own_blocks)).cast("int"))
         df = df.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_blocks) - 1)))
-        return df.select(*keys, "row_block", "query_block", "id", "vec")
+        # New columns for each side: both may come from the same table.
+        return df.select(*[F.col(c).alias(c) for c in (*keys, "row_block", "query_block", "id", "vec")])
 
     left = split(rows, "row_block", "row_blocks", "query_block", "query_blocks")
     right = split(queries, "query_block", "query_blocks", "row_block", "row_blocks")

@@ -184,7 +184,7 @@ def test_neighbour_query_recall(spark, sf):
 def test_neighbours_of_odd_vectors(spark):
     nan = float("nan")
     rng = np.random.default_rng(4)
-    rows = [(i, rng.normal(size=8).tolist()) for i in range(12)] + [(100 + i, [1.0] + [0.0] * 7) for i in range(30)]
+    rows = [(i, (rng.normal(size=8) * 0.1).tolist()) for i in range(12)] + [(100 + i, [1.0] + [0.0] * 7) for i in range(30)]
     bad = [(50, None), (51, [0.0] * 8), (52, [nan] * 8), (53, [None] * 8), (54, [1.0, 2.0]), (None, [1.0] * 8), (55, [float("inf")] * 8), (56, [])]
     df = spark.createDataFrame([(*r, "x") for r in rows + bad], "vec_id long, embedding array<double>, score string")
     got = {}
