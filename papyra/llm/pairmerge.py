@@ -44,7 +44,7 @@ def merge(symbols: list[int], pairs: dict[int, int]) -> tuple[int, list[int]]:
             continue
         merges += 1
         made = v & MASK
-        symbols[i], symbols[j] = made, MASK
+        symbols[i] = made
         k = after[i] = after[j]
         after[j] = n  # an entry for the symbol that is gone finds no neighbour
         if k < n:

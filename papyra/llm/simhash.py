@@ -1,15 +1,21 @@
 """SimHash near-duplicates through fuzzy keys of a Golay code.
 
 A fingerprint has 64 bits, cut into segments of 22, 21 and 21. Each segment, filled up to 23 bits,
-is decoded with the perfect (23, 12) Golay code: its keys are the 12-bit indices of all codewords at
-distance 4 or less, which are one (the nearest at 2 or less) or six (the nearest at 3). Two segments
+is decoded with the perfect (23, 12) Golay code: its fuzzy keys are the 12-bit indices of all codewords
+at distance 4 or less, which are one (the nearest at 2 or less) or six (the nearest at 3). Two segments
 that differ in at most two bits have a word between them at distance 1 or less from both, whose
-nearest codeword, at 3 or less from it, is a key of both: they share a key.
+nearest codeword, at 3 or less from it, is a key of both: they share a fuzzy key.
 
-At most 4 differing bits in three segments leave at least two segments with at most two (two
-segments with three or more would make six). So fingerprints are keyed by pairs of segments,
-2 x 12 bits and the number of the pair, and every linked pair of fingerprints shares one of these
-keys. Fingerprints that share a key are compared; only 4 or fewer differing bits make a link.
+At most 4 differing bits lie in the three segments in one of two ways:
+
+* some segment has none. The other two share at most 4, so one of them has at most two: the first
+  segment as it is (21 bits or more) and a fuzzy key of the other (12 bits) agree;
+* every segment has one or more. Then two have exactly one, and one half of each of these agrees
+  (10 bits or more each), while the third has at most two: its fuzzy key (12 bits) agrees.
+
+So every linked pair shares a key of at least 32 bits, of about 96 for each fingerprint.
+Fingerprints that share a key are compared; only 4 or fewer differing bits make a link. Chance
+meetings stay rare up to billions of fingerprints.
 
 Only distinct fingerprints are keyed, so exact copies cost nothing here. Keys that only one
 fingerprint has are dropped before anything is gathered. A key with more than ``BLOCK`` fingerprints
@@ -25,6 +31,8 @@ ignored, whatever their names; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,7 +50,8 @@ DISTANCE = 4
 #: Fingerprints of one key that are compared in one group.
 BLOCK = 2048
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
-PAIRS = ((0, 1), (0, 2), (1, 2))
+#: Bits of the lower half of a segment.
+HALF = 11
 
 
 def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
@@ -103,7 +112,7 @@ def _patterns() -> tuple[np.ndarray, np.ndarray]:
 
 
 class GolayKeys:
-    """Keys of fingerprints by pairs of segments."""
+    """Keys of fingerprints: one segment fuzzily, others or their halves as they are."""
 
     def __init__(self):
         self.table, self.count = _patterns()
@@ -116,17 +125,25 @@ class GolayKeys:
         return keys, np.arange(6)[None, :] < self.count[syn][:, None]
 
     def __call__(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All (key, number of the fingerprint)."""
+        """All (key, number of the fingerprint); the kind of a key is in its upper bits."""
         u = prints.view(np.uint64)
-        parts = [self.segment((u >> np.uint64(s)) & np.uint64((1 << n) - 1)) for s, n in SEGMENTS]
+        plain = [(u >> np.uint64(s)) & np.uint64((1 << n) - 1) for s, n in SEGMENTS]
+        fuzzy = [self.segment(w) for w in plain]
+        low = np.uint64((1 << HALF) - 1)
+        halves = [(w & low, w >> np.uint64(HALF)) for w in plain]
+        fixed: list[tuple[int, np.ndarray]] = []  # the fuzzy segment, and what has to agree as it is
+        for i, j in itertools.permutations(range(3), 2):
+            fixed.append((j, plain[i]))
+        for k in range(3):
+            i, j = (x for x in range(3) if x != k)
+            fixed += [(k, a << np.uint64(HALF) | b) for a in halves[i] for b in halves[j]]
         keys, rows = [], []
-        for number, (i, j) in enumerate(PAIRS):
-            (ki, hi), (kj, hj) = parts[i], parts[j]
-            k = ki[:, :, None] << np.uint32(12) | kj[:, None, :] | np.uint32(number << 24)
-            there = hi[:, :, None] & hj[:, None, :]
-            keys.append(k[there])
+        for kind, (k, same) in enumerate(fixed):
+            codes, there = fuzzy[k]
+            whole = (np.uint64(kind) << np.uint64(22) | same)[:, None] << np.uint64(12) | codes
+            keys.append(whole[there])
             rows.append(np.nonzero(there)[0])
-        return np.concatenate(keys).astype(np.int32), np.concatenate(rows)
+        return np.concatenate(keys).view(np.int64), np.concatenate(rows)
 
 
 def _emit_keys(batches):
@@ -198,7 +215,7 @@ def links_between(prints: DataFrame, distance: int = DISTANCE, block: int = BLOC
     if distance > DISTANCE:
         raise ValueError(f"the keys find fingerprints with at most {DISTANCE} differing bits")
     prepare(prints.sparkSession)
-    keys = prints.select("print").mapInArrow(_emit_keys, "key int, print long")
+    keys = prints.select("print").mapInArrow(_emit_keys, "key long, print long")
     sizes = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     shared = keys.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     own = F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int")
