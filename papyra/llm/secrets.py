@@ -34,14 +34,16 @@ HEX = r"[0-9a-f]{24,}"
 
 WINDOW = 20
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
+#: A candidate may be a whole text of one run, so these patterns take linear time: each is anchored at the
+#: start or at the start of a word, and gives nothing back.
 #: What a candidate has to mix, its class by the signs it uses, and the entropy that one window must reach.
-MIXED = r"(?s)(?=.*[0-9].*[0-9])(?=.*[A-Za-z].*[A-Za-z])"
+MIXED = r"^(?=[^0-9]*+[0-9][^0-9]*+[0-9])(?=[^A-Za-z]*+[A-Za-z][^A-Za-z]*+[A-Za-z])"
 CLASSES = (("hex", r"^[0-9a-fA-F]+$", 2.9), ("alnum", r"^[A-Za-z0-9]+={0,2}$", 3.5), ("base64", r".", 3.7))
 ALLOWED = (
     r"(?i)example|sample|dummy|placeholder|changeme|xxxx"
     r"|^(?:sha(?:1|224|256|384|512)|md5|blake[23]b?)[-_]"
     r"|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
-    r"|0123456789|abcdefgh|(?:[a-z]{3,}[-_/]){2}[a-z]{3,}"
+    r"|0123456789|abcdefgh|(?<![a-z])(?:[a-z]{3,}+[-_/]){2}[a-z]{3,}"
 )
 _SIGNS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
 _SCALE = 10**9
