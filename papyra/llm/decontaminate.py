@@ -138,6 +138,14 @@ def _cutter(items, width, drop):
     return fn
 
 
+def _span_cutter():
+    def fn(texts: list[bytes], spans: list[list[dict]]):
+        cut = [cut_spans(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(texts, spans, strict=True)]
+        return [bool(s) for s in spans], [t.decode("utf-8", "replace") for t in cut]
+
+    return fn
+
+
 def _without_hits(docs, benchmark, drop, width, max_held_bytes, text_col, item_col, item_text_col) -> DataFrame:
     names = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
@@ -152,10 +160,10 @@ def _without_hits(docs, benchmark, drop, width, max_held_bytes, text_col, item_c
         rows = checkpoint(rows.withColumn("__row", F.monotonically_increasing_id()))
         spans = find_contamination(rows, benchmark, width, max_held_bytes, "__row", text, item_col, item_text_col)
         joined = rows.join(spans.select("__row", "spans"), "__row")
-        cut = F.udf(lambda t, s: cut_spans(bytes(t), [(x["start"], x["end"]) for x in s]).decode("utf-8", "replace"))
-        done = joined.withColumns(
-            {"__hit": F.size("spans") > 0, "__cut": F.lit(None) if drop else cut(text_bytes(text), F.col("spans"))}
-        )
+        if drop:
+            done = joined.withColumn("__hit", F.size("spans") > 0)
+        else:
+            done = map_rows(joined, [text_bytes(text), F.col("spans")], out, _span_cutter, keep=list(names.values()))
     if drop:
         done = done.filter(~F.col("__hit"))
     else:
@@ -215,9 +223,9 @@ def _by_join(rows: DataFrame, items: DataFrame, width: int, id_col: str) -> Data
     keys = w_items.select("item", "n", F.explode(windows(F.col("w"), F.col("n"))).alias("x"))
     keys = keys.select("item", "n", F.col("x.key").alias("key")).distinct()
     lengths = [r["n"] for r in keys.select("n").distinct().collect()]  # at most ``width`` numbers
-    doc_words = rows.withColumn("__row", F.monotonically_increasing_id()).select(
-        "__row", "__id", words(F.col("__text")).alias("w")
-    )
+    # Row numbers would change if a lost task read its rows in another order, so they are written first.
+    numbered = checkpoint(rows.withColumn("__row", F.monotonically_increasing_id()))
+    doc_words = numbered.select("__row", "__id", words(F.col("__text")).alias("w"))
     places = None
     for n in lengths:
         part = doc_words.filter(F.size("w") >= n).select(
@@ -231,7 +239,9 @@ def _by_join(rows: DataFrame, items: DataFrame, width: int, id_col: str) -> Data
         return counts.select(id_col, "n_words", none.alias("spans"), F.array().cast("array<string>").alias("items"))
     hits = places.join(keys, ["n", "key"])
     found = hits.groupBy("__row").agg(
-        F.array_sort(F.collect_set(F.struct(F.col("start").cast("long"), (F.col("start") + F.col("n")).cast("long").alias("end")))).alias("s"),
+        F.array_sort(F.collect_set(F.struct(
+            F.col("start").cast("long").alias("start"), (F.col("start") + F.col("n")).cast("long").alias("end")
+        ))).alias("s"),
         F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("items"),
     )
     merged = F.aggregate(
