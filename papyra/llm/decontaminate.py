@@ -224,21 +224,21 @@ def _by_join(rows: DataFrame, items: DataFrame, width: int, id_col: str) -> Data
     keys = keys.select("item", "n", F.col("x.key").alias("key")).distinct()
     lengths = [r["n"] for r in keys.select("n").distinct().collect()]  # at most ``width`` numbers
     # Row numbers would change if a lost task read its rows in another order, so they are written first.
-    numbered = checkpoint(rows.withColumn("__row", F.monotonically_increasing_id()))
-    doc_words = numbered.select("__row", "__id", words(F.col("__text")).alias("w"))
+    numbered = checkpoint(rows.withColumn("__text_no", F.monotonically_increasing_id()))
+    doc_words = numbered.select("__text_no", "__id", words(F.col("__text")).alias("w"))
     places = None
     for n in lengths:
         part = doc_words.filter(F.size("w") >= n).select(
-            "__row", F.lit(n).alias("n"), F.explode(windows(F.col("w"), F.lit(n))).alias("x")
+            "__text_no", F.lit(n).alias("n"), F.explode(windows(F.col("w"), F.lit(n))).alias("x")
         )
-        part = part.select("__row", "n", F.col("x.start").alias("start"), F.col("x.key").alias("key"))
+        part = part.select("__text_no", "n", F.col("x.start").alias("start"), F.col("x.key").alias("key"))
         places = part if places is None else places.unionByName(part)
-    counts = doc_words.select("__row", F.col("__id").alias(id_col), F.size("w").cast("long").alias("n_words"))
+    counts = doc_words.select("__text_no", F.col("__id").alias(id_col), F.size("w").cast("long").alias("n_words"))
     none = F.array().cast(_SPANS)
     if places is None:
         return counts.select(id_col, "n_words", none.alias("spans"), F.array().cast("array<string>").alias("items"))
     hits = places.join(keys, ["n", "key"])
-    found = hits.groupBy("__row").agg(
+    found = hits.groupBy("__text_no").agg(
         F.array_sort(F.collect_set(F.struct(
             F.col("start").cast("long").alias("start"), (F.col("start") + F.col("n")).cast("long").alias("end")
         ))).alias("s"),
@@ -254,7 +254,7 @@ def _by_join(rows: DataFrame, items: DataFrame, width: int, id_col: str) -> Data
             ),
         ).otherwise(F.concat(acc, F.array(x))),
     )
-    return counts.join(found.select("__row", merged.alias("spans"), "items"), "__row", "left").select(
+    return counts.join(found.select("__text_no", merged.alias("spans"), "items"), "__text_no", "left").select(
         id_col, "n_words", F.coalesce("spans", none).alias("spans"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
     )
