@@ -314,7 +314,10 @@ def test_variant(node: Node, v: Column) -> bool | Cond:
     raise TypeError(node)
 
 
-def _walk_variant(v: Column, parts: list[str], node: Any, in_array: bool, leaf_index: bool) -> bool | Cond:
+def _walk_variant(
+    v: Column, parts: list[str], node: Any, in_array: bool, leaf_index: bool, is_element: bool = False
+) -> bool | Cond:
+    """The same below a VARIANT value; ``is_element``: an element found by going through an array, which has to be an object."""
     there = Cond(v.isNotNull(), v.isNull())
     if not parts:
         own = both([there, test_variant(node.term, v)])
@@ -330,8 +333,10 @@ def _walk_variant(v: Column, parts: list[str], node: Any, in_array: bool, leaf_i
     if not in_array:  # below a scalar that is in no array, or below nothing, a value is missing too
         missing = missing | F.coalesce(~is_object & ~_kind(v).startswith("ARRAY"), F.lit(True))
     ways.append(both([Cond.of(missing), null]))
+    if is_element:  # arrays directly in arrays are not gone through
+        return either(ways)
     elements = _array(v)
-    inner = lambda x: both([Cond.of(_kind(x).startswith("OBJECT")), _walk_variant(x, parts, node, True, False)])
+    inner = lambda x: both([Cond.of(_kind(x).startswith("OBJECT")), _walk_variant(x, parts, node, True, False, True)])
     if head.isdigit():
         at = F.get(elements, F.lit(int(head)))
         ways.append(both([Cond.of(F.size(elements) > int(head)), _walk_variant(at, rest, node, True, not rest)]))

@@ -112,7 +112,7 @@ add(
     "dotted_struct", _on(C.events, {"props.k": {"$gte": 50}}, {"event_id": 1, "event_type": 1}),
     f"WITH {C.D4} SELECT event_id, event_type FROM ev WHERE props >= 50",
 )
-_ROLES = "list_transform(turns, x -> x.role)"
+_ROLES = "list_transform(turns, lambda x: x.role)"
 
 
 def _d2(name: str, query: dict, where: str) -> None:
@@ -130,7 +130,7 @@ _d2("type_object", {"turns": {"$type": 3}}, "true")
 _d2("not_size", {"turns": {"$not": {"$size": 6}}}, "len(turns) <> 6")
 _d2(
     "all_elem_match", {"turns": {"$all": [{"$elemMatch": {"role": "user", "turn": 0}}, {"$elemMatch": {"turn": 5}}]}},
-    "len(list_filter(turns, x -> x.role = 'user' AND x.turn = 0)) > 0 AND len(list_filter(turns, x -> x.turn = 5)) > 0",
+    "len(list_filter(turns, lambda x: x.role = 'user' AND x.turn = 0)) > 0 AND len(list_filter(turns, lambda x: x.turn = 5)) > 0",
 )
 
 
@@ -139,7 +139,7 @@ def _d3(name: str, query: dict, where: str) -> None:
 
 
 def _some(test: str) -> str:
-    return f"coalesce(len(list_filter(orders, x -> {test})) > 0, false)"
+    return f"coalesce(len(list_filter(orders, lambda x: {test})) > 0, false)"
 
 
 _d3("array_elem_eq", {"orders.o_orderstatus": "F"}, _some("x.o_orderstatus = 'F'"))
@@ -166,7 +166,7 @@ add(
     lambda s, d: match(
         C.load(s, d, "embeddings").select("vec_id", F.slice("embedding", 1, 4).alias("e")), {"e": {"$elemMatch": {"$gt": 0.2, "$lt": 0.25}}}
     ).select("vec_id"),
-    "SELECT vec_id FROM embeddings WHERE len(list_filter(embedding[1:4], x -> x > 0.2 AND x < 0.25)) > 0",
+    "SELECT vec_id FROM embeddings WHERE len(list_filter(embedding[1:4], lambda x: x > 0.2 AND x < 0.25)) > 0",
 )
 
 # --- projection, sort, skip, limit ------------------------------------------------------------
@@ -192,7 +192,7 @@ add(
     lambda s, d: find(C.conversations(s, d), {}, {"turns.text": 0}, id_field="conv_id").select(
         "conv_id", F.concat_ws(",", F.transform("turns", lambda x: F.concat(x["turn"], F.lit(":"), x["role"]))).alias("turns")
     ),
-    f"WITH {C.D2} SELECT conv_id, array_to_string(list_transform(turns, x -> x.turn || ':' || x.role), ',') AS turns FROM conv",
+    f"WITH {C.D2} SELECT conv_id, array_to_string(list_transform(turns, lambda x: x.turn || ':' || x.role), ',') AS turns FROM conv",
 )
 add(
     "sort_multi", _find("orders", {"o_orderstatus": "P"}, _ORDER, sort={"o_custkey": 1, "o_orderkey": -1}, limit=50, id_field="o_orderkey"),
@@ -209,7 +209,7 @@ add(
 add(
     "sort_array", _on(C.customers, {"orders": {"$exists": True}}, {"c_custkey": 1}, sort={"orders.o_totalprice": -1, "c_custkey": 1}, limit=20),
     f"WITH {C.D3_URGENT} SELECT c_custkey FROM cust WHERE orders IS NOT NULL"
-    " ORDER BY list_max(list_transform(orders, x -> x.o_totalprice)) DESC, c_custkey LIMIT 20",
+    " ORDER BY list_max(list_transform(orders, lambda x: x.o_totalprice)) DESC, c_custkey LIMIT 20",
 )
 add(
     "skip_limit", _find("orders", {}, _ORDER, sort={"o_totalprice": -1, "o_orderkey": 1}, skip=30, limit=20, id_field="o_orderkey"),
@@ -234,18 +234,18 @@ add(
 )
 add(
     "distinct_array", lambda s, d: distinct(C.customers(s, d), "orders.o_orderstatus"),
-    f"WITH {C.D3_URGENT} SELECT DISTINCT unnest(list_transform(orders, x -> x.o_orderstatus)) AS value FROM cust",
+    f"WITH {C.D3_URGENT} SELECT DISTINCT unnest(list_transform(orders, lambda x: x.o_orderstatus)) AS value FROM cust",
 )
 add("distinct_missing", lambda s, d: distinct(C.docs(s, d), "quality"), f"WITH {C.D1} SELECT DISTINCT quality AS value FROM docs WHERE quality IS NOT NULL")
 
 # --- updates ----------------------------------------------------------------------------------
 
 
-def _updated(make, query: dict, update: dict, *columns, id_field: str = "_id") -> Query:
+def _updated(make, query: dict, update: dict, *columns: str, id_field: str = "_id") -> Query:
     def run(s: SparkSession, d: str) -> DataFrame:
         df = make(s, d)
         hit = F.coalesce(matching(df, query).pos, F.lit(False))
-        return apply_update(df, hit, update, id_field).select(*columns)
+        return apply_update(df, hit, update, id_field).selectExpr(*columns)
 
     return run
 
@@ -273,7 +273,7 @@ _upd("bit_or", {"$bit": {"p_size": {"or": 64}}}, "p_size | 64")
 _upd("bit_xor", {"$bit": {"p_size": {"xor": 21}}}, "xor(p_size, 21)")
 _upd("set_on_insert", {"$setOnInsert": {"p_name": "x"}, "$inc": {"p_size": 1}}, "p_size + 1")
 add(
-    "upd_set_new_field", _updated(_part, {"p_size": 1}, {"$set": {"extra.note": "small"}}, "p_partkey", F.col("extra.note").alias("note")),
+    "upd_set_new_field", _updated(_part, {"p_size": 1}, {"$set": {"extra.note": "small"}}, "p_partkey", "extra.note AS note"),
     "SELECT p_partkey, CASE WHEN p_size = 1 THEN 'small' END AS note FROM part",
 )
 add(
@@ -285,14 +285,14 @@ add("upd_inc_missing", _updated(C.docs, {}, {"$inc": {"quality": 3}}, "doc_id",
 add("upd_mul_missing", _updated(C.docs, {}, {"$mul": {"quality": 3}}, "doc_id", "quality"), f"WITH {C.D1} SELECT doc_id, coalesce(quality * 3, 0) AS quality FROM docs")
 add("upd_max_missing", _updated(C.docs, {}, {"$max": {"quality": 0}}, "doc_id", "quality"), f"WITH {C.D1} SELECT doc_id, greatest(coalesce(quality, 0), 0) AS quality FROM docs")
 add(
-    "upd_current_date", _updated(_part, {"p_size": 1}, {"$currentDate": {"at": True}}, "p_partkey", F.col("at").isNotNull().alias("dated")),
+    "upd_current_date", _updated(_part, {"p_size": 1}, {"$currentDate": {"at": True}}, "p_partkey", "at IS NOT NULL AS dated"),
     "SELECT p_partkey, p_size = 1 AS dated FROM part",
 )
 add(
-    "upd_dotted", _updated(C.events, {"event_type": "click"}, {"$inc": {"props.k": 100}}, "event_id", F.col("props.k").alias("k")),
+    "upd_dotted", _updated(C.events, {"event_type": "click"}, {"$inc": {"props.k": 100}}, "event_id", "props.k AS k"),
     f"WITH {C.D4} SELECT event_id, CASE WHEN event_type = 'click' THEN props + 100 ELSE props END AS k FROM ev",
 )
-_JOINED = F.concat_ws(",", "roles").alias("roles")
+_JOINED = "concat_ws(',', roles) AS roles"
 
 
 def _roles(s: SparkSession, d: str) -> DataFrame:
@@ -314,21 +314,21 @@ _arr("push_slice_last", {"$push": {"roles": {"$each": ["a"], "$slice": -2}}}, "l
 _arr("push_slice_none", {"$push": {"roles": {"$each": ["a"], "$slice": 0}}}, "CAST([] AS VARCHAR[])")
 _arr("pop_last", {"$pop": {"roles": 1}}, "roles[1:len(roles) - 1]")
 _arr("pop_first", {"$pop": {"roles": -1}}, "roles[2:]")
-_arr("pull", {"$pull": {"roles": "user"}}, "list_filter(roles, x -> x <> 'user')")
-_arr("pullall", {"$pullAll": {"roles": ["user", "system"]}}, "list_filter(roles, x -> x NOT IN ('user', 'system'))")
+_arr("pull", {"$pull": {"roles": "user"}}, "list_filter(roles, lambda x: x <> 'user')")
+_arr("pullall", {"$pullAll": {"roles": ["user", "system"]}}, "list_filter(roles, lambda x: x NOT IN ('user', 'system'))")
 _arr("addtoset", {"$addToSet": {"roles": "system"}}, "CASE WHEN list_contains(roles, 'system') THEN roles ELSE list_append(roles, 'system') END")
 _arr(
     "addtoset_each", {"$addToSet": {"roles": {"$each": ["tool", "user", "tool"]}}},
     "list_concat(list_append(roles, 'tool'), CASE WHEN list_contains(roles, 'user') THEN CAST([] AS VARCHAR[]) ELSE ['user'] END)",
 )
-_arr("set_index", {"$set": {"roles.1": "second"}}, "list_transform(roles, (x, i) -> CASE WHEN i = 2 THEN 'second' ELSE x END)")
+_arr("set_index", {"$set": {"roles.1": "second"}}, "list_transform(roles, lambda x, i: CASE WHEN i = 2 THEN 'second' ELSE x END)")
 add(
     "upd_push_sort_slice",
     _updated(
         C.customers, {}, {"$push": {"orders": {"$each": [{"o_orderkey": 0, "o_totalprice": 123456.5}], "$sort": {"o_totalprice": -1, "o_orderkey": 1}, "$slice": 3}}},
-        "c_custkey", F.concat_ws(",", F.transform("orders", lambda x: x["o_orderkey"].cast("string"))).alias("keys"),
+        "c_custkey", "concat_ws(',', transform(orders, x -> CAST(x.o_orderkey AS STRING))) AS keys",
     ),
-    f"WITH {C.D3_URGENT}, u AS (SELECT c_custkey, unnest(list_append(list_transform(coalesce(orders, []), x -> "
+    f"WITH {C.D3_URGENT}, u AS (SELECT c_custkey, unnest(list_append(list_transform(coalesce(orders, []), lambda x: "
     "{'k': x.o_orderkey, 'p': x.o_totalprice}), {'k': 0, 'p': 123456.5})) AS o FROM cust),"
     " r AS (SELECT c_custkey, o.k AS k, row_number() OVER (PARTITION BY c_custkey ORDER BY o.p DESC, o.k) AS n FROM u)"
     " SELECT c_custkey, string_agg(CAST(k AS VARCHAR), ',' ORDER BY n) AS keys FROM r WHERE n <= 3 GROUP BY c_custkey",
@@ -422,16 +422,16 @@ add(
 _STATUS = Index("status", (("orders.o_orderstatus", 1),), True)
 add(
     "index_entries_simple", lambda s, d: entries(C.customers(s, d), _STATUS, "c_custkey"),
-    f"WITH {C.D3_URGENT} SELECT DISTINCT unnest(CASE WHEN orders IS NULL THEN [NULL] ELSE list_transform(orders, x -> x.o_orderstatus) END) AS k0, c_custkey AS id FROM cust",
+    f"WITH {C.D3_URGENT} SELECT DISTINCT unnest(CASE WHEN orders IS NULL THEN [NULL] ELSE list_transform(orders, lambda x: x.o_orderstatus) END) AS k0, c_custkey AS id FROM cust",
 )
 add(
     "index_entries_compound",
     lambda s, d: entries(C.customers(s, d), Index("c", (("c_mktsegment", 1), ("orders.o_orderstatus", 1))), "c_custkey"),
-    f"WITH {C.D3_URGENT} SELECT DISTINCT c_mktsegment AS k0, unnest(CASE WHEN orders IS NULL THEN [NULL] ELSE list_transform(orders, x -> x.o_orderstatus) END) AS k1, c_custkey AS id FROM cust",
+    f"WITH {C.D3_URGENT} SELECT DISTINCT c_mktsegment AS k0, unnest(CASE WHEN orders IS NULL THEN [NULL] ELSE list_transform(orders, lambda x: x.o_orderstatus) END) AS k1, c_custkey AS id FROM cust",
 )
 add(
     "unique_violations", lambda s, d: violations(C.customers(s, d), _STATUS, "c_custkey"),
-    f"WITH {C.D3_URGENT}, e AS (SELECT DISTINCT unnest(CASE WHEN orders IS NULL THEN [NULL] ELSE list_transform(orders, x -> x.o_orderstatus) END) AS k0, c_custkey AS id FROM cust)"
+    f"WITH {C.D3_URGENT}, e AS (SELECT DISTINCT unnest(CASE WHEN orders IS NULL THEN [NULL] ELSE list_transform(orders, lambda x: x.o_orderstatus) END) AS k0, c_custkey AS id FROM cust)"
     " SELECT k0, count(*) AS n FROM e GROUP BY k0 HAVING count(DISTINCT id) > 1",
 )
 
@@ -473,5 +473,5 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 add(
     "flagship", flagship,
     f"WITH {C.D3_ALL} SELECT c_custkey, c_name, c_mktsegment, c_acctbal FROM cust WHERE c_mktsegment IN ('BUILDING', 'HOUSEHOLD')"
-    " AND coalesce(len(list_filter(orders, x -> x.o_orderstatus = 'F' AND x.o_totalprice > 100000)) > 0, false)",
+    " AND coalesce(len(list_filter(orders, lambda x: x.o_orderstatus = 'F' AND x.o_totalprice > 100000)) > 0, false)",
 )
