@@ -183,7 +183,13 @@ def test(node: Node, col: Column, dtype: T.DataType) -> bool | Cond:
     if isinstance(node, Not):
         return negate(test(node.term, col, dtype))
     if isinstance(node, Any):
-        return _walk(col, dtype, node.path.split("."), node, False, False)
+        parts = node.path.split(".")
+        if isinstance(dtype, T.ArrayType):  # an array that is the value itself is not gone through: only an index leads on
+            if not parts[0].isdigit():
+                return FALSE
+            at = F.get(col, F.lit(int(parts[0])))
+            return both([Cond.of(F.size(col) > int(parts[0])), _walk(at, dtype.elementType, parts[1:], node, True, len(parts) == 1)])
+        return _walk(col, dtype, parts, node, False, False)
     raise TypeError(node)
 
 
@@ -310,14 +316,14 @@ def test_variant(node: Node, v: Column) -> bool | Cond:
     if isinstance(node, Not):
         return negate(test_variant(node.term, v))
     if isinstance(node, Any):
-        return _walk_variant(v, node.path.split("."), node, False, False)
+        return _walk_variant(v, node.path.split("."), node, False, False, True)
     raise TypeError(node)
 
 
 def _walk_variant(
-    v: Column, parts: list[str], node: Any, in_array: bool, leaf_index: bool, is_element: bool = False
+    v: Column, parts: list[str], node: Any, in_array: bool, leaf_index: bool, closed: bool = False
 ) -> bool | Cond:
-    """The same below a VARIANT value; ``is_element``: an element found by going through an array, which has to be an object."""
+    """The same below a VARIANT value; ``closed``: if it is an array, it is not gone through, only an index leads on."""
     there = Cond(v.isNotNull(), v.isNull())
     if not parts:
         own = both([there, test_variant(node.term, v)])
@@ -333,14 +339,13 @@ def _walk_variant(
     if not in_array:  # below a scalar that is in no array, or below nothing, a value is missing too
         missing = missing | F.coalesce(~is_object & ~_kind(v).startswith("ARRAY"), F.lit(True))
     ways.append(both([Cond.of(missing), null]))
-    if is_element:  # arrays directly in arrays are not gone through
-        return either(ways)
     elements = _array(v)
     inner = lambda x: both([Cond.of(_kind(x).startswith("OBJECT")), _walk_variant(x, parts, node, True, False, True)])
     if head.isdigit():
         at = F.get(elements, F.lit(int(head)))
         ways.append(both([Cond.of(F.size(elements) > int(head)), _walk_variant(at, rest, node, True, not rest)]))
-    ways.append(_some(elements, inner))
+    if not closed:
+        ways.append(_some(elements, inner))
     return either(ways)
 
 
