@@ -199,10 +199,16 @@ def _null(node: Any) -> bool | Cond:
 
 
 def _some(array: Column, make: Callable[[Column], bool | Cond]) -> bool | Cond:
-    constant = make(F.lit(None))
-    if isinstance(constant, bool):
-        return Cond.of(F.size(array) > 0) if constant else FALSE
-    return Cond.of(F.exists(array, lambda x: F.coalesce(make(x).pos, F.lit(False))))
+    made: list[bool | Cond] = []
+
+    def element(x: Column) -> Column:  # built once: nested arrays would double the work at every level
+        made.append(make(x))
+        return F.coalesce(_cond(made[0]).pos, F.lit(False))
+
+    found = F.exists(array, element)
+    if isinstance(made[0], bool):
+        return Cond.of(F.size(array) > 0) if made[0] else FALSE
+    return Cond.of(found)
 
 
 def _walk(col: Column, dtype: T.DataType, parts: list[str], node: Any, in_array: bool, leaf_index: bool) -> bool | Cond:
