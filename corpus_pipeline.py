@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm import decontaminate, pieces, quality, secrets, simhash
+from papyra.llm import decontaminate, overlap, pieces, quality, secrets
 from papyra.llm.common import table
 from papyra.session import checkpoint_dir
 
@@ -24,11 +24,11 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id.
+    """One document of each group of near copies (similarity 0.8 of five-word shingles): the one with the smallest id.
 
     Rows that repeat an id are one document; rows without id stand for no group and go.
     """
-    return simhash.one_of_each(docs)
+    return overlap.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
