@@ -5,9 +5,9 @@ by a sliding window over candidate strings (runs of at least ``WINDOW`` signs of
 mix digits with letters): for its character class, the counts of the signs in the window are kept,
 each step adds the sign that enters and takes away the one that leaves, and the window's Shannon
 entropy is ``log2(w) - sum(c log2 c) / w``. The sum is kept in whole billionths, so steps do not drift.
-A candidate is a secret if any window reaches the threshold of its class. Candidates on the allow-list
-(documented examples, UUIDs, digests with their algorithm's name, signs in order) are suppressed, and so
-are candidates that a pattern span covers.
+Parts on the allow-list (documented examples, UUIDs, digests with their algorithm's name, signs in order,
+words between separators) are taken out of a candidate; it is a secret if any window of any other part
+reaches the threshold of that part's class. Candidates that a pattern span covers are suppressed.
 
 Positions are in code points, the end exclusive. They come from the lengths of the matches and of
 the parts between them, so each kind costs one split and one extraction, and only in texts that have
@@ -39,11 +39,14 @@ CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 #: What a candidate has to mix, its class by the signs it uses, and the entropy that one window must reach.
 MIXED = r"^(?=[^0-9]*+[0-9][^0-9]*+[0-9])(?=[^A-Za-z]*+[A-Za-z][^A-Za-z]*+[A-Za-z])"
 CLASSES = (("hex", r"^[0-9a-fA-F]+$", 2.9), ("alnum", r"^[A-Za-z0-9]+={0,2}$", 3.5), ("base64", r".", 3.7))
+#: What is no secret: placeholders, signs in order, one documented key, digests after their algorithm's name, UUIDs, and
+#: words that stand alone between separators. Only the matched part is let off; the rest of the candidate is judged.
 ALLOWED = (
-    r"(?i)example|sample|dummy|placeholder|changeme|xxxx"
-    r"|^(?:sha(?:1|224|256|384|512)|md5|blake[23]b?)[-_]"
-    r"|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
-    r"|0123456789|abcdefgh|(?<![a-z])(?:[a-z]{3,}+[-_/]){2}[a-z]{3,}"
+    r"(?i:example|sample|dummy|placeholder|changeme|xxxx|0123456789|abcdefgh)"
+    r"|^wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY$"
+    r"|^(?i:sha(?:1|224|256|384|512)|md5|blake[23]b?)[-_][A-Za-z0-9+/]++={0,2}"
+    r"|(?<![A-Za-z0-9])(?i:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})(?![A-Za-z0-9])"
+    r"|(?<![A-Za-z0-9+])(?:[A-Z]?[a-z]{2,19}|[A-Z]{2,19})(?![A-Za-z0-9+])[-_/]*"
 )
 _SIGNS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
 _SCALE = 10**9
@@ -112,12 +115,13 @@ def window_entropy(candidate: Column, window: int = WINDOW) -> Column:
 
 
 def _is_secret(match: Column, window: int) -> Column:
-    threshold = F.lit(CLASSES[-1][2])
-    for _, pattern, bits in reversed(CLASSES[:-1]):
-        threshold = F.when(match.rlike(pattern), F.lit(bits)).otherwise(threshold)
-    return F.when(
-        match.rlike(MIXED) & ~match.rlike(ALLOWED), window_entropy(match, window) >= threshold - F.lit(1e-9)
-    ).otherwise(F.lit(False))
+    def reaches(part: Column) -> Column:
+        threshold = F.lit(CLASSES[-1][2])
+        for _, pattern, bits in reversed(CLASSES[:-1]):
+            threshold = F.when(part.rlike(pattern), F.lit(bits)).otherwise(threshold)
+        return window_entropy(part, window) >= threshold - F.lit(1e-9)
+
+    return F.when(match.rlike(MIXED), F.exists(F.split(match, ALLOWED, -1), reaches)).otherwise(F.lit(False))
 
 
 def secret_spans(text: Column, window: int = WINDOW) -> tuple[Column, Column]:
