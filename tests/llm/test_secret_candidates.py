@@ -33,3 +33,20 @@ def test_allowed_parts_alone_are_no_secrets(spark):
         "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "sha256-KEY9sdfJKH34kjhDFGkj345kjhSDFkjh", "see-also-chapter-12-and-13",
     ]
     assert found(spark, texts) == [False] * len(texts)
+
+
+def test_candidates_of_every_class_are_scored(spark):
+    letters = [signs(32, string.ascii_letters, seed) for seed in range(200)]
+    assert sum(found(spark, letters)) >= 198
+    lower = [signs(32, string.ascii_lowercase, seed) for seed in range(200)]
+    assert sum(found(spark, lower)) >= 150
+    alnum = [signs(20, ALNUM, seed) for seed in range(300)]
+    assert sum(found(spark, alnum)) >= 290
+
+
+def test_words_are_no_secrets(spark):
+    texts = [
+        "keitstlichschenverpfeinungtzheit", "getElementByIdFromTheDocument", "AbstractSingletonProxyFactoryBean",
+        "state-of-the-art-methods", "a" * 200, "ein" * 30, "-" * 60, "Rindfleisch-Etikettierung-Gesetz",
+    ]
+    assert found(spark, texts) == [False] * len(texts)
