@@ -2,7 +2,11 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame. ``run`` applies them to the documents
 of ``sf_dir``; between stages rows are written as Parquet and read again, so a lost executor costs no
-more than the stage that it worked on. All stages but the last return the columns of the documents.
+more than the stage that it worked on. What a stage wrote is removed once the next one has written; the
+last table goes when the session ends. All stages but the last return the columns of the documents.
+
+Defined results: null and empty texts go through every stage as empty texts; rows that repeat an id are
+judged by their texts; rows without id are rows like any other; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from pyspark.sql import functions as F
 
 from papyra.llm import decontaminate, overlap, pieces, quality, secrets
 from papyra.llm.common import table
-from papyra.session import checkpoint_dir
+from papyra.session import checkpoint_dir, remove, remove_at_exit
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +30,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (similarity 0.8 of five-word shingles): the one with the smallest id.
 
-    Rows that repeat an id are one document; rows without id stand for no group and go.
+    Different texts that share an id, and texts without id, are documents of their own.
     """
     return overlap.one_of_each(docs)
 
@@ -66,7 +70,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    remove_at_exit(spark, folder)
     for n, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{n}")
         docs = spark.read.parquet(f"{folder}/{n}")
+        if n:
+            remove(spark, f"{folder}/{n - 1}")
     return docs

@@ -26,6 +26,7 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
         .getOrCreate()
@@ -58,15 +59,37 @@ def prepare(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints: the one in ``spark.checkpoint.dir``.
 
-    A folder of our own is set only where none is named, as in local tests.
+    A folder of our own, removed when the session's JVM ends, is set only where none is named and the
+    session is a local one, as in tests; on a cluster a missing setting is an error.
     """
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "papyra-checkpoints"))
+        if not named:
+            remove_at_exit(spark, sc.getCheckpointDir())
     return sc.getCheckpointDir()
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder of intermediate data."""
+    fs, at = _file_system(spark, path)
+    fs.delete(at, True)
+
+
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Remove a folder when the session's JVM ends."""
+    fs, at = _file_system(spark, path)
+    fs.deleteOnExit(at)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a reliable checkpoint in the shared folder."""
     checkpoint_dir(df.sparkSession)
