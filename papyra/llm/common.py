@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Sequence
 
 import pyarrow as pa
@@ -51,6 +52,18 @@ class Memo(dict):
         return value
 
 
+#: What ``make`` gave to earlier tasks of this worker, by token; the two newest.
+_MADE: dict[str, Callable] = {}
+
+
+def _made(token: str, make: Callable[..., Callable], args: tuple) -> Callable:
+    if token not in _MADE:
+        while len(_MADE) > 1:
+            del _MADE[next(iter(_MADE))]
+        _MADE[token] = make(*args)
+    return _MADE[token]
+
+
 def _slices(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
     rows = max(1, batch.num_rows * SLICE_BYTES // max(batch.nbytes, 1))
     for start in range(0, batch.num_rows, rows):
@@ -64,13 +77,17 @@ def map_rows(
     make: Callable[..., Callable],
     args: tuple = (),
     keep: Sequence[str] = (),
+    token: str | None = None,
 ) -> DataFrame:
     """Apply a Python batch function to every row, without a shuffle.
 
-    ``make(*args)`` runs once a task and returns ``fn(*columns) -> columns``, which gets each
-    input as a list and returns one list (or Arrow array) for each field of ``out``. Columns
-    named in ``keep`` pass through; one that is also in ``out`` is replaced by the result.
+    ``make(*args)`` runs once a worker, whose later tasks use what it gave; it returns
+    ``fn(*columns) -> columns``, which gets each input as a list and returns one list (or Arrow
+    array) for each field of ``out``. Equal ``token``s mean equal results of ``make``; without
+    one, only tasks of this call share. Columns named in ``keep`` pass through; one that is also
+    in ``out`` is replaced by the result.
     """
+    token = token or uuid.uuid4().hex
     prepare(df.sparkSession)
     new = {f.name for f in out}
     keep = [k for k in keep if k not in new]
@@ -79,7 +96,7 @@ def map_rows(
     n_keep = len(keep)
 
     def run(batches):
-        fn = make(*args)
+        fn = _made(token, make, args)
         arrow = to_arrow_schema(schema)
         for whole in batches:
             for b in _slices(whole):
@@ -97,3 +114,39 @@ def map_rows(
 def text_bytes(name: str = "text") -> Column:
     """The column's text as UTF-8 bytes; null counts as the empty text."""
     return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit("")).cast("binary")
+
+
+#: A key with more than one in so many rows is joined apart, by broadcast: there are fewer than so many of these.
+HOT_SHARE = 1000
+#: Keys with so few rows are never hot.
+LEAST_HOT = 256
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """``left`` joined with ``right``, which has one row a key and the number of left rows of that key in ``weight``.
+
+    Weights sum up to ``total`` at most, so fewer than ``HOT_SHARE`` keys have more than that share of it.
+    These go to every task; no key of the shuffled join has more rows.
+    """
+    least = max(total // HOT_SHARE, LEAST_HOT)
+    hot = F.broadcast(right.filter(F.col(weight) > least).drop(weight))
+    cold = right.filter(F.col(weight) <= least).drop(weight)
+    rest = left.join(hot.select(key), key, "left_anti")
+    return left.join(hot, key).unionByName(rest.join(cold, key))
+
+
+def spread(df: DataFrame, rows: int, in_task: int = 131_072) -> DataFrame:
+    """A small table (``rows`` long) dealt over enough tasks for work that makes many rows of each."""
+    wanted = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // in_task))
+    return df.repartition(max(1, min(wanted, -(-rows // 512))))
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns of a row; a null differs from every value."""
+
+    def plain(f: T.StructField) -> Column:
+        c = F.col(f"`{f.name}`")
+        kind = f.dataType.typeName()
+        return F.map_entries(c) if kind == "map" else F.to_json(c) if kind == "variant" else c
+
+    return F.xxhash64(*[x for f in df.schema for x in (plain(f), F.isnull(F.col(f"`{f.name}`")))])

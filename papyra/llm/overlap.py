@@ -1,25 +1,38 @@
 """Near copies by exact Jaccard similarity of word shingles, for the pipeline.
 
 A text counts as the set of its five-word shingles (64-bit hashes; a shorter text is one shingle).
-Texts with equal sets are one node. Candidates come from two sets of keys: MinHash bands, which two
-texts of similarity 0.8 share with probability 1 - (1 - 0.8^4)^20, all but about 3 in 100,000, and
-links of near SimHash fingerprints. Every candidate pair is verified by the exact similarity of its
-sets; only 0.8 or more makes a link. Groups are the components over links.
-
-A key with more than ``BLOCK`` nodes is split into blocks, and every pair of its blocks is a group of
-its own; groups with the same nodes are compared once. A group gives links enough to hold its linked
-nodes together, not all pairs.
+Texts with equal sets are one node. Candidates come from SimHash fingerprints of these shingles, which
+meet through the fuzzy Golay keys of ``simhash``, and from MinHash bands: texts of similarity 0.8 mostly
+differ in more fingerprint bits than the fuzzy keys can hold, while they share a band with probability
+1 - (1 - 0.8^4)^20, all but about 3 in 100,000. Every candidate pair is verified by the exact similarity
+of its sets; only 0.8 or more makes a link. Groups are the components over links.
+
+What is kept of every text is small: hashes, fingerprint and bands. Sets are made only for nodes that
+share a key. They are compared in two rounds, so that a large group of copies costs one comparison each:
+
+1. every node with the smallest node of its key;
+2. where the nodes of a key are not in one component by now: the nodes outside the component of the
+   smallest one with all nodes of the key.
+
+Groups of a round are cut into blocks of about ``BLOCK_BYTES`` of sets, and every pair of blocks that has
+to meet is a group of its own, so a task holds little. Equal groups are compared once.
+
+Defined results: null and empty texts, and texts of blanks only, are copies of each other. Rows that
+repeat an id are judged by their texts like any other rows: different texts stay. A row without id comes
+after those with one. Of one group the row with the smallest id stays, ties: with the smallest hash of
+its text, then of all its columns; of rows that are equal in every column one stays. Texts of any
+length are taken whole; other columns are kept, whatever their names; an empty table stays empty.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from papyra.llm.common import map_rows, space_words, text_bytes
+from papyra.llm.common import join_hot, map_rows, row_hash, space_words, text_bytes
 from papyra.llm.components import components
 from papyra.llm.simhash import SEED, links_between
 from papyra.session import checkpoint, prepare
@@ -27,8 +40,8 @@ from papyra.session import checkpoint, prepare
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 20, 4
-#: Nodes of one key that are compared in one group.
-BLOCK = 512
+#: Bytes of sets in one block.
+BLOCK_BYTES = 8 << 20
 _RNG = np.random.default_rng(SEED)
 _FLIP = _RNG.integers(0, 2**64, (BANDS * ROWS, 1), np.uint64)
 _TURN = _RNG.integers(0, 2**64, (BANDS * ROWS, 1), np.uint64) | np.uint64(1)
@@ -71,116 +84,186 @@ def _describe(shingle: int):
     from xxhash import xxh64_intdigest as digest
 
     def run(texts):
-        nodes, prints, bands, sets = [], [], [], []
+        nodes, prints, bands, sizes = [], [], [], []
         for t in texts:
             h = shingle_hashes(t, shingle)
             own = np.unique(h)
             nodes.append(int(np.uint64(digest(own.tobytes(), SEED)).view(np.int64)))
             prints.append(_print(h))
             bands.append(_bands(own))
-            sets.append(own.tobytes())
-        return nodes, prints, bands, sets
+            sizes.append(len(own))
+        return nodes, prints, bands, sizes
 
     return run
 
 
-def forest(nodes: list[int], sets: list[bytes], similarity: float = SIMILARITY) -> list[tuple[int, int]]:
-    """Links that hold together what is linked among the sets: a search tree per component."""
+_SKETCH = (
+    T.StructType().add("node", T.LongType()).add("print", T.LongType()).add("bands", T.ArrayType(T.LongType())).add("n", T.LongType())
+)
+
+
+def _set_maker(shingle: int):
+    return lambda texts: ([np.unique(shingle_hashes(t, shingle)).tobytes() for t in texts],)
+
+
+# --- comparing --------------------------------------------------------------------------------
+
+
+def similar(nodes: list[int], sets: list[bytes], groups: list[int], asking: list[bool], similarity: float) -> list[tuple[int, int]]:
+    """Links between every asking node and the nodes of other groups; groups that a link joins become one."""
     parts = [np.frombuffer(s, np.uint64) for s in sets]
     sizes = np.array([len(p) for p in parts])
     words, flat = np.unique(np.concatenate(parts), return_inverse=True)
     starts = np.concatenate([[0], np.cumsum(sizes)])
-    left = np.arange(len(nodes))
-    links: list[tuple[int, int]] = []
-    queue: list[int] = []
-    while len(left):
-        if not queue:
-            queue.append(int(left[0]))
-            left = left[1:]
+    group = np.unique(np.array(groups), return_inverse=True)[1]
+    links = []
+    for at in np.flatnonzero(asking).tolist():
+        if (group == group[at]).all():
             continue
-        at = queue.pop()
         held = np.zeros(len(words), bool)
         held[flat[starts[at] : starts[at + 1]]] = True
-        both = np.add.reduceat(held[flat].astype(np.int64), starts[:-1])[left]
-        near = both >= similarity * (sizes[left] + sizes[at] - both) - 1e-9
-        found = left[near]
-        left = left[~near]
-        links += [(nodes[at], nodes[x]) for x in found]
-        queue += found.tolist()
+        both = np.add.reduceat(held[flat].astype(np.int64), starts[:-1])
+        near = (both >= similarity * (sizes + sizes[at] - both) - 1e-9) & (group != group[at])
+        for other in np.flatnonzero(near).tolist():
+            if group[other] != group[at]:
+                links.append((nodes[at], nodes[other]))
+                group[group == group[other]] = group[at]
     return links
 
 
-def _verify(similarity: float):
+def _compare(similarity: float):
     def run(batches):
         for b in batches:
             links = []
-            for group in b.column(0).to_pylist():
-                members = [m for m in group if m["set"]]
-                if len(members) > 1:
-                    links += forest([m["node"] for m in members], [m["set"] for m in members], similarity)
+            for members in b.column(0).to_pylist():
+                one = {m["node"]: m for m in members}  # a node may be there for two reasons
+                for m in members:
+                    one[m["node"]]["asks"] |= m["asks"]
+                m = list(one.values())
+                if len(m) > 1:
+                    columns = ([x[c] for x in m] for c in ("node", "set", "comp", "asks"))
+                    links += similar(*columns, similarity)
             a, c = np.array(links, np.int64).reshape(-1, 2).T
             yield pa.RecordBatch.from_arrays([pa.array(a.copy()), pa.array(c.copy())], names=["a", "b"])
 
     return run
 
 
-def _groups(keys: DataFrame, block: int) -> DataFrame:
-    """``gid, node``: what shares a key, by pairs of blocks; equal groups once."""
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = keys.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    shared = shared.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(
-        F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("own"))
-    ))
-    met = shared.select("key", "node", "own", other.alias("other"))
-    nodes = met.groupBy("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q")).agg(
-        F.array_sort(F.collect_set("node")).alias("nodes")
+def _compared(groups: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links within groups (``gid, node, comp, asks``)."""
+    full = groups.join(sets, "node").groupBy("gid").agg(F.collect_list(F.struct("node", "set", "comp", "asks")).alias("members"))
+    return full.select("members").mapInArrow(_compare(similarity), "a long, b long").distinct()
+
+
+def _blocks(size: Column, block: int) -> Column:
+    return F.greatest(F.ceil(8 * size / block), F.lit(1)).cast("int")
+
+
+def _own(blocks: Column) -> Column:
+    return F.pmod(F.xxhash64("node"), blocks).cast("int")
+
+
+def _with_first(met: DataFrame, sets: DataFrame, similarity: float, block: int) -> DataFrame:
+    """Links between the smallest node of a key and the others of the key."""
+    pairs = checkpoint(met.filter("node <> first").select("first", "node", "n").distinct())
+    sizes = pairs.groupBy("first").agg(F.count("*").alias("m"), _blocks(F.sum("n"), block).alias("blocks"))
+    cut = join_hot(pairs, sizes, "first", "m", pairs.count()).select("first", "node", _own(F.col("blocks")).alias("p"))
+    hubs = cut.select("first", F.col("first").alias("node"), "p").distinct()
+    groups = cut.withColumn("asks", F.lit(False)).unionByName(hubs.withColumn("asks", F.lit(True)))
+    gid = F.xxhash64("first", "p").alias("gid")
+    return _compared(groups.select(gid, "node", F.col("node").alias("comp"), "asks"), sets, similarity)
+
+
+def _with_rest(met: DataFrame, found: DataFrame, sets: DataFrame, similarity: float, block: int) -> DataFrame:
+    """Links between the nodes of a key that are in another component than its smallest one, and all of the key."""
+    comps = components(found)
+    met = met.filter("m > 2").join(comps, met["node"] == comps["node"], "left").select(
+        "key", "first", met["node"], "n", F.coalesce("root", met["node"]).alias("comp")
+    )
+    met = checkpoint(met)
+    main = F.max(F.when(F.col("node") == F.col("first"), F.col("comp"))).alias("main")
+    keys = met.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high"), main)
+    open_keys = keys.filter("low <> high").select("key", "m", "main")
+    left = checkpoint(join_hot(met, open_keys, "key", "m", met.count()).withColumn("asks", F.col("comp") != F.col("main")))
+    size = lambda asks: F.coalesce(F.sum(F.when(F.col("asks") == asks, F.col("n"))), F.lit(0))
+    cuts = left.groupBy("key").agg(
+        F.count("*").alias("m"), _blocks(size(False), block).alias("plain"), _blocks(size(True), block).alias("asking")
+    )
+    cut = join_hot(left, cuts, "key", "m", left.count())
+    # Block numbers: first those of the nodes that do not ask, then the asking ones. A plain block meets every asking one,
+    # an asking block meets every block.
+    cut = cut.withColumn("own", F.when(F.col("asks"), F.col("plain") + _own(F.col("asking"))).otherwise(_own(F.col("plain"))))
+    asking = F.sequence(F.col("plain"), F.col("plain") + F.col("asking") - 1)
+    other = F.when(F.col("asks"), F.sequence(F.lit(0), F.col("plain") + F.col("asking") - 1)).otherwise(asking)
+    cut = cut.select("key", "node", "comp", "asks", "own", F.explode(other).alias("other"))
+    nodes = cut.groupBy("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q")).agg(
+        F.array_sort(F.collect_set(F.struct("node", "comp", "asks"))).alias("nodes")
     )
     once = nodes.filter(F.size("nodes") > 1).select(F.xxhash64("nodes").alias("gid"), "nodes").dropDuplicates(["gid"])
-    return once.select("gid", F.explode("nodes").alias("node"))
+    return _compared(once.select("gid", F.inline("nodes")), sets, similarity)
 
 
-def links_by_overlap(texts: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """``a, b``: links that hold the near nodes of ``texts`` (``node, print, bands, set``) together."""
-    prepare(texts.sparkSession)
-    nodes = checkpoint(texts.groupBy("node").agg(F.min("print").alias("print"), F.min("bands").alias("bands")))
-    bands = nodes.select(F.explode("bands").alias("key"), "node")
-    prints = nodes.groupBy("print").agg(F.min("node").alias("node"))
-    links = checkpoint(links_between(prints.select("print")))
+def candidate_keys(nodes: DataFrame) -> DataFrame:
+    """``key, node, n``: a node for every band, its fingerprint, and every link of its fingerprint; of ``node, print, bands, n``.
+
+    Nodes of one fingerprint share a key, so for links the smallest of them stands for all.
+    """
+    nodes = nodes.filter("n > 0").select("node", "n", "print", "bands")
+    prints = nodes.groupBy("print").agg(F.min(F.struct("node", "n")).alias("x")).select("print", "x.node", "x.n")
+    prints = checkpoint(prints)
+    links = checkpoint(links_between(prints))
 
     def end(name: str) -> DataFrame:
         key = F.xxhash64(F.lit("link"), "a", "b").alias("key")
-        return links.select(key, F.col(name).alias("print")).join(prints, "print").select("key", "node")
+        return links.select(key, F.col(name).alias("print")).join(prints, "print").select("key", "node", "n")
 
-    same = nodes.select(F.xxhash64(F.lit("print"), "print").alias("key"), "node")
-    keys = bands.unionByName(end("a")).unionByName(end("b")).unionByName(same)
-    groups = checkpoint(_groups(keys, block))
-    sets = texts.join(groups.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("set").alias("set"))
-    gathered = groups.join(sets, "node").groupBy("gid").agg(F.collect_list(F.struct("node", "set")).alias("members"))
-    return gathered.select("members").mapInArrow(_verify(similarity), "a long, b long").distinct()
+    same = nodes.select(F.xxhash64(F.lit("print"), "print").alias("key"), "node", "n")
+    bands = nodes.select(F.explode("bands").alias("key"), "node", "n")
+    return bands.unionByName(end("a")).unionByName(end("b")).unionByName(same)
 
 
-def near_copies(
-    docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """``__id, __hash, root`` of every row: its id, the hash of its text, and what is the same in all of its group."""
-    rows = docs.select(F.col(f"`{id_col}`").alias("__id"), text_bytes(text_col).alias("__text"))
-    rows = rows.withColumn("__hash", F.xxhash64("__text"))
-    out = T.StructType().add("node", "long").add("print", "long").add("bands", T.ArrayType(T.LongType())).add("set", "binary")
-    texts = checkpoint(map_rows(rows, [F.col("__text")], out, _describe, (shingle,), keep=["__id", "__hash"]))
-    roots = components(links_by_overlap(texts, similarity))
-    return texts.select("__id", "__hash", "node").join(roots, "node", "left").select(
-        "__id", "__hash", F.coalesce("root", "node").alias("root")
-    )
+def links_by_overlap(nodes: DataFrame, make_sets, similarity: float = SIMILARITY, block: int = BLOCK_BYTES) -> DataFrame:
+    """``a, b``: links that hold the near nodes of ``nodes`` (``node, print, bands, n``) together.
 
+    ``make_sets`` gives the table ``node, set`` for a table of nodes.
+    """
+    prepare(nodes.sparkSession)
+    keys = candidate_keys(nodes)
+    sizes = keys.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("first")).filter("m > 1")
+    met = checkpoint(keys.join(sizes, "key"))  # the adaptive join splits hot keys
+    sets = checkpoint(make_sets(met.select("node").distinct()))
+    found = checkpoint(_with_first(met, sets, similarity, block))
+    return found.unionByName(_with_rest(met, found, sets, similarity, block))
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row, with all its columns, of each group of near copies: the one with the smallest id.
 
-    Rows that repeat an id are one document, of which one row stays. Rows without id go.
-    """
-    least = near_copies(docs, id_col=id_col, text_col=text_col).groupBy("root").agg(F.min("__id").alias("__kept"))
-    kept = least.select("__kept").distinct()
-    # Texts are shuffled once, by their id; dropping repeated ids uses the same partitions.
-    rows = docs.join(kept, docs[id_col] == kept["__kept"], "left_semi")
-    return rows.dropDuplicates([id_col])
+# --- documents --------------------------------------------------------------------------------
+
+
+def one_of_each(
+    docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row, with all its columns, of each group of near copies: the one with the smallest id."""
+    named = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in named.items()])
+    rows = rows.withColumn("k1", F.xxhash64(named[text_col])).withColumn("k2", row_hash(rows))  # a row, in 128 bits
+    text, row = text_bytes(named[text_col]), ("k1", "k2")
+    own = F.col(named[id_col])
+    slim = rows.select(*row, own.alias("id"), text.alias("text"))
+    sketch = map_rows(slim, [F.col("text")], _SKETCH, _describe, (shingle,), keep=[*row, "id"])
+    sketch = checkpoint(sketch)
+    first = F.min(F.struct(F.isnull("id").alias("none"), "id", *row)).alias("first")
+    same = [F.min(c).alias(c) for c in ("print", "bands", "n")]
+    nodes = checkpoint(sketch.groupBy("node").agg(first, *same))
+
+    def make_sets(wanted: DataFrame) -> DataFrame:
+        which = wanted.join(nodes, "node").select("node", "first.k1", "first.k2")
+        texts = slim.select(*row, "text").join(which, [*row]).dropDuplicates([*row])
+        out = T.StructType([T.StructField("set", T.BinaryType())])
+        return map_rows(texts, [F.col("text")], out, _set_maker, (shingle,), keep=["node"])
+
+    roots = components(links_by_overlap(nodes, make_sets, similarity))
+    rooted = nodes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.k1", "first.k2")
+    # Texts are shuffled once, by the hashes of their rows; dropping equal rows uses the same partitions.
+    stay = rows.join(kept, [*row], "left_semi").dropDuplicates([*row])
+    return stay.select(*[F.col(n).alias(c) for c, n in named.items()])

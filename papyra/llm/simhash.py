@@ -25,8 +25,11 @@ than there are fingerprints), not all pairs. Components are then found over thes
 
 Defined results: null and empty texts, and texts of blanks only, have fingerprint zero, which is
 linked like any other. Repeated rows are given each; a row without id gets the component of the
-others with its fingerprint or links, and null where nobody there has an id. Other columns are
-ignored, whatever their names; an empty table gives an empty result.
+others with its fingerprint or links, and null where nobody there has an id. Texts of any length are
+hashed whole. Other columns are ignored, whatever their names; an empty table gives an empty result.
+
+Fingerprints with many texts and components with many fingerprints are hot keys: labels come to them
+by broadcast (see ``join_hot``), and only the others meet their labels in a shuffle.
 """
 
 from __future__ import annotations
@@ -39,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from papyra.llm.common import map_rows, space_words, text_bytes
+from papyra.llm.common import join_hot, map_rows, space_words, spread, text_bytes
 from papyra.llm.components import components
 from papyra.session import checkpoint, prepare
 
@@ -215,7 +218,8 @@ def links_between(prints: DataFrame, distance: int = DISTANCE, block: int = BLOC
     if distance > DISTANCE:
         raise ValueError(f"the keys find fingerprints with at most {DISTANCE} differing bits")
     prepare(prints.sparkSession)
-    keys = prints.select("print").mapInArrow(_emit_keys, "key long, print long")
+    # About 96 keys a fingerprint: dealt evenly first, so that many tasks make them. Both uses of the keys share the deal.
+    keys = spread(prints.select("print"), prints.count()).mapInArrow(_emit_keys, "key long, print long")
     sizes = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     shared = keys.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     own = F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int")
@@ -242,24 +246,14 @@ def near_duplicates(
     rows = docs.select(F.col(f"`{id_col}`").alias("__id"), text_bytes(text_col).alias("__text"))
     out = T.StructType([T.StructField("print", T.LongType())])
     prints = checkpoint(map_rows(rows, [F.col("__text")], out, _printer, (shingle,), keep=["__id"]))
-    classes = prints.groupBy("print").agg(F.min("__id").alias("first"))
-    classes = checkpoint(classes)
+    classes = checkpoint(prints.groupBy("print").agg(F.min("__id").alias("first"), F.count("*").alias("rows")))
     roots = components(links_between(classes, distance))
-    rooted = classes.join(roots, classes["print"] == roots["node"], "left").select(
-        "print", "first", F.coalesce("root", "print").alias("root")
+    rooted = checkpoint(
+        classes.join(roots, classes["print"] == roots["node"], "left").select(
+            "print", "first", "rows", F.coalesce("root", "print").alias("root")
+        )
     )
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    labelled = rooted.join(least, "root").select("print", "component_id")
-    return prints.join(labelled, "print").select(F.col("__id").alias(id_col), "print", "component_id")
-
-
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row, with all its columns, of each group of near copies: the one with the smallest id.
-
-    Rows that repeat an id are one document, of which one row stays. Rows without id go.
-    """
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col)
-    kept = found.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__kept")).distinct()
-    # Texts are shuffled once, by their id; dropping repeated ids uses the same partitions.
-    rows = docs.join(kept, docs[id_col] == kept["__kept"], "left_semi")
-    return rows.dropDuplicates([id_col])
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    labelled = join_hot(rooted.drop("first"), least, "root", "n", classes.count()).select("print", "rows", "component_id")
+    found = join_hot(prints, labelled, "print", "rows", prints.count())
+    return found.select(F.col("__id").alias(id_col), "print", "component_id")

@@ -1,8 +1,11 @@
 import itertools
+import random
 
 import corpus_pipeline
+import numpy as np
 from papyra.llm import components as C
 from papyra.llm import overlap as O
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.01"
 
@@ -46,7 +49,54 @@ def test_copies_with_few_changed_words_are_one_group_in_any_blocks(spark):
     want = slow_kept(texts)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert {r["doc_id"] for r in O.one_of_each(docs).collect()} == want
-    rows = [(*(x[0] for x in O._describe(5)([t.encode()])),) for t in texts.values()]
-    frame = spark.createDataFrame(rows, "node long, print long, bands array<long>, set binary")
-    roots = {r["node"]: r["root"] for r in C.components(O.links_by_overlap(frame, block=4)).collect()}
-    assert len({roots.get(r[0], r[0]) for r in rows}) == len(want)
+    described = {i: [x[0] for x in O._describe(5)([t.encode()])] for i, t in texts.items()}
+    rows = [tuple(d) for d in {d[0]: d for d in described.values()}.values()]
+    frame = spark.createDataFrame(rows, "node long, print long, bands array<long>, n long")
+    held = [(described[i][0], np.unique(O.shingle_hashes(t.encode())).tobytes()) for i, t in texts.items()]
+    held = spark.createDataFrame(list(dict(held).items()), "node long, set binary")
+    for block in (4 * 300 * 8, O.BLOCK_BYTES):
+        links = O.links_by_overlap(frame, lambda wanted: held.join(wanted, "node"), block=block)
+        roots = {r["node"]: r["root"] for r in C.components(links).collect()}
+        assert len({roots.get(r[0], r[0]) for r in rows}) == len(want)
+
+
+def test_chains_are_found_through_blocks(spark):
+    """A chain of texts, each near the next one only, among many that share its words: no link may be lost."""
+    rnd = random.Random(1)
+    texts, words = {}, [f"w{k}" for k in range(200)]
+    for i in range(60):
+        texts[i] = " ".join(words)
+        for k in rnd.sample(range(200), 1 if i % 3 else 6):
+            words[k] = f"n{i}x{k}"
+    want = slow_kept(texts)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    assert {r["doc_id"] for r in O.one_of_each(docs).collect()} == want and 1 < len(want) < 60
+
+
+def test_similar_compares_asking_nodes_only():
+    sets = [np.array(x, np.uint64).tobytes() for x in ([1, 2, 3, 4, 5], [1, 2, 3, 4, 5, 6], [1, 2, 3, 4], [9])]
+    nodes = [10, 11, 12, 13]
+    assert O.similar(nodes, sets, [1, 2, 3, 4], [True, False, False, False], 0.8) == [(10, 11), (10, 12)]
+    assert O.similar(nodes, sets, [1, 1, 3, 4], [False, False, False, True], 0.8) == []
+    assert O.similar(nodes, sets, [1, 1, 3, 4], [False, False, True, False], 0.8) == [(12, 10)]
+
+
+def test_odd_rows_stay_or_go_by_their_texts(spark, odd, none):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [
+        (2, text, "a"), (4, text, "b"), (4, "a text of its own", "c"), (None, "no id and no copy", "d"), (None, "no id and no copy", "d"),
+        (None, text, "e"), (None, "another one without id", "f"), (7, "twice the same", "g"), (7, "twice the same", "g"), (7, "twice the same", "h"),
+        (9, None, "i"), (8, "", "j"), (None, " ", "k"),
+    ]
+    want = [(2, text), (4, "a text of its own"), (7, "twice the same"), (8, ""), (None, "another one without id"), (None, "no id and no copy")]
+    for order in (rows, rows[5:][::-1] + rows[:5]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, k1 string").withColumn("first", F.lit(1)).repartition(3)
+        kept = O.one_of_each(docs)
+        assert kept.columns == docs.columns
+        assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1])) == want
+    stay = O.one_of_each(odd)
+    assert stay.columns == odd.columns
+    assert sorted((r["doc_id"] for r in stay.collect()), key=lambda i: (i is None, i)) == [1, 4, 6, 7, 8, None]
+    assert O.one_of_each(none).count() == 0
+    maps = spark.createDataFrame([(1, "x", {"a": 1}), (2, "x", None)], "doc_id long, text string, m map<string,int>")
+    assert [r["doc_id"] for r in O.one_of_each(maps).collect()] == [1]

@@ -5,7 +5,7 @@ import sentencepiece
 from papyra.llm import quality, secrets
 from pyspark.sql import functions as F
 
-from test_simhash import slow_components, slow_print
+from test_overlap import slow_kept
 from test_text_scans import slow_hits, slow_secrets
 
 SF = "/root/testdata/sf0.001"
@@ -16,9 +16,8 @@ def test_pipeline_like_brute_force(spark, documents):
     docs = [r for r in documents.collect()]
     scores = model.score(quality.matrix([r["text"].encode() for r in docs]))
     docs = [r for r, s in zip(docs, scores, strict=True) if s >= 0.3]
-    prints = {r["doc_id"]: slow_print(r["text"]) for r in docs}
-    own = slow_components(prints)
-    docs = [r for r in docs if own[r["doc_id"]] == r["doc_id"]]
+    stay = slow_kept({r["doc_id"]: r["text"] for r in docs})
+    docs = [r for r in docs if r["doc_id"] in stay]
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     docs = [r for r in docs if not slow_hits(r["text"], items)[1]]
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))

@@ -7,7 +7,6 @@ import xxhash
 from papyra.llm import components as C
 from papyra.llm import simhash as S
 from papyra.llm.queries import op3_simhash
-from pyspark.sql import functions as F
 
 
 def slow_print(text):
@@ -124,11 +123,3 @@ def test_odd_rows(odd, none):
     assert by[4]["component_id"] == by[5]["component_id"] == 4
     assert by[None]["component_id"] is None
     assert S.near_duplicates(none).count() == 0
-
-
-def test_one_of_each_keeps_all_columns(odd, none):
-    kept = S.one_of_each(odd)
-    assert kept.columns == odd.columns
-    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 4, 6, 7, 8]
-    assert S.one_of_each(none).count() == 0
-    assert S.one_of_each(odd.withColumn("print", F.lit(1))).count() == 5
