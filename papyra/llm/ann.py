@@ -17,9 +17,11 @@ A query whose tables hold fewer than ``k`` rows for it is searched against all r
 Where norms differ, rows get one more coordinate, ``sqrt(1 - |x|^2 / max^2)``, and queries a zero
 one, so that the nearest direction is the largest inner product.
 
-Vectors that are null, zero, of another length than the longest, or that hold null or non-finite
-components take no part, neither do rows without id. Repeated ids are rows of their own, and a
-query never returns its own id. Other columns are ignored; an empty table gives an empty result.
+Vectors that are null, zero, or that hold null or non-finite components take no part, neither do rows
+without id. Vectors of different lengths have no inner product: every length is searched by itself, so an
+odd row costs only itself. Rows that repeat both id and vector are one row. Rows that share an id but not
+the vector are rows of their own: each is a candidate, the other one's as well, and as a query each has
+its own list. Other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -94,67 +96,78 @@ def _pack(batches):
         )
 
 
-def _hash(dim: int, tables: int, probes: int, top: float | None, query: bool):
-    """Rows to (table, bucket, id, vec): one bucket a table, or the nearest ``probes`` of them."""
+def _hash(tables: int, probes: int, query: bool):
+    """Rows to (dim, table, bucket, id, mark, vec): one bucket a table, or the nearest ``probes`` of them."""
 
-    def run(batches):
-        turn = Rotations(dim + (top is not None), tables)
+    def some(b, dim, top, turn):
+        x = _matrix(b.column("vec"))
+        norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+        if top is None or query:
+            d = x / norm
+        else:
+            d = np.concatenate([x / top, np.sqrt(np.maximum(0, 1 - (norm / top) ** 2))], axis=1)
         wanted = min(probes if query else 1, 2 * turn.width)
+        at = np.repeat(np.arange(len(x)), wanted)
+        rows = b.select(["id", "mark", "vec"]).take(pa.array(at))
+        for t in range(tables):
+            s = turn.scores(d, t)
+            axes = np.argsort(-s, axis=1, kind="stable")[:, :wanted] if wanted > 1 else s.argmax(axis=1)[:, None]
+            own = [np.full(len(at), dim, np.int32), np.full(len(at), t, np.int32), axes.ravel().astype(np.int32)]
+            yield pa.RecordBatch.from_arrays(
+                [*map(pa.array, own), *rows.columns], names=["dim", "table", "bucket", "id", "mark", "vec"]
+            )
+
+    def run(batches):
+        turns: dict[tuple, Rotations] = {}
         for whole in batches:
-            for start in range(0, whole.num_rows, 256):
-                b = whole.slice(start, 256)
-                x = _matrix(b.column(1))
-                norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
-                if top is None or query:
-                    d = x / norm
-                else:
-                    d = np.concatenate([x / top, np.sqrt(np.maximum(0, 1 - (norm / top) ** 2))], axis=1)
-                for t in range(tables):
-                    s = turn.scores(d, t)
-                    axes = np.argsort(-s, axis=1, kind="stable")[:, :wanted] if wanted > 1 else s.argmax(axis=1)[:, None]
-                    at = np.repeat(np.arange(len(x)), wanted)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.full(len(at), t, np.int32)), pa.array(axes.ravel().astype(np.int32)),
-                            b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)),
-                        ],
-                        names=["table", "bucket", "id", "vec"],
-                    )
+            dims, tops = whole.column("dim").to_numpy(), whole.column("top").to_pylist()
+            for dim in np.unique(dims).tolist():
+                rows = np.flatnonzero(dims == dim)
+                top = tops[rows[0]]
+                key = dim + (top is not None)
+                if key not in turns:
+                    turns.clear()  # one length at a time is held
+                    turns[key] = Rotations(key, tables)
+                step = max(1, min(256, (1 << 22) // key))
+                for start in range(0, len(rows), step):
+                    yield from some(whole.take(pa.array(rows[start : start + step])), dim, top, turns[key])
 
     return run
 
 
-_PAIR = "query_id long, vec_id long, score double"
+_PAIR = "query_id long, query_mark long, vec_id long, vec_mark long, score double"
+#: Rows of one group that are compared with one slice of queries at a time.
+_CELLS = 1 << 21
 
 
 def _rank_group(k: int):
     """The rows of one block that can be among the ``k`` nearest of each query of the other."""
 
     def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
-        q_out, v_out, s_out = [], [], []
+        out: list[list[np.ndarray]] = [[], [], [], [], []]
         if rows.num_rows and queries.num_rows:
-            x, ids = _matrix(rows.column("vec").combine_chunks()), rows.column("id").to_numpy()
-            q_ids = queries.column("id").to_numpy()
-            for start in range(0, len(q_ids), 256):
-                part = queries.slice(start, 256)
+            x, ids, marks = _matrix(rows.column("vec").combine_chunks()), rows.column("id").to_numpy(), rows.column("mark").to_numpy()
+            q_ids, q_marks = queries.column("id").to_numpy(), queries.column("mark").to_numpy()
+            step = max(1, _CELLS // len(ids))
+            for start in range(0, len(q_ids), step):
+                part = queries.slice(start, step)
                 q = _matrix(part.column("vec").combine_chunks())
-                own = q_ids[start : start + 256]
+                own, mark = q_ids[start : start + step], q_marks[start : start + step]
                 near = q @ x.T
-                near[own[:, None] == ids[None, :]] = -np.inf
+                near[(own[:, None] == ids[None, :]) & (mark[:, None] == marks[None, :])] = -np.inf
                 if len(ids) > k:
                     least = np.partition(near, len(ids) - k, axis=1)[:, len(ids) - k]
                 else:
                     least = np.full(len(own), -np.inf)
                 slack = SLACK * np.maximum(1.0, np.abs(least))
                 qi, vi = np.nonzero((near >= (least - slack)[:, None]) & np.isfinite(near))
-                q_out.append(own[qi])
-                v_out.append(ids[vi])
                 # The score itself: one row's products summed in one order wherever they are computed.
-                s_out.append((q[qi] * x[vi]).sum(axis=1))
-        join = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
-        return pa.table(
-            {"query_id": join(q_out, np.int64), "vec_id": join(v_out, np.int64), "score": join(s_out, np.float64)}
-        )
+                made = own[qi], mark[qi], ids[vi], marks[vi], (q[qi] * x[vi]).sum(axis=1)
+                for column, values in zip(out, made, strict=True):
+                    column.append(values)
+        names = ["query_id", "query_mark", "vec_id", "vec_mark", "score"]
+        kinds = [np.int64] * 4 + [np.float64]
+        return pa.table({n: np.concatenate(c) if c else np.empty(0, t) for n, c, t in zip(names, out, kinds, strict=True)})
 
     return run
 
@@ -163,11 +176,11 @@ def _in_blocks(rows: DataFrame, queries: DataFrame, keys: list[str], sizes: Data
     """Compare what shares ``keys``, by blocks. ``sizes``: keys, ``row_blocks``, ``query_blocks``."""
 
     def split(df: DataFrame, own: str, own_blocks: str, other: str, other_blocks: str) -> DataFrame:
-        df = df.join(F.broadcast(sizes), keys) if keys else df.crossJoin(F.broadcast(sizes))
-        df = df.withColumn(own, F.pmod(F.xxhash64("id"), F.col(own_blocks)).cast("int"))
+        df = df.join(F.broadcast(sizes), keys)
+        df = df.withColumn(own, F.pmod(F.xxhash64("id", "mark"), F.col(own_blocks)).cast("int"))
         df = df.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_blocks) - 1)))
         # New columns for each side: both may come from the same table.
-        return df.select(*[F.col(c).alias(c) for c in (*keys, "row_block", "query_block", "id", "vec")])
+        return df.select(*[F.col(c).alias(c) for c in (*keys, "row_block", "query_block", "id", "mark", "vec")])
 
     left = split(rows, "row_block", "row_blocks", "query_block", "query_blocks")
     right = split(queries, "query_block", "query_blocks", "row_block", "row_blocks")
@@ -177,11 +190,19 @@ def _in_blocks(rows: DataFrame, queries: DataFrame, keys: list[str], sizes: Data
 
 def _nearest(pairs: DataFrame, k: int) -> DataFrame:
     """The ``k`` best of each query, ranked; a row that several tables found counts once."""
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    pairs = pairs.repartition("query_id").dropDuplicates(["query_id", "vec_id"])
+    best = Window.partitionBy("query_id", "query_mark").orderBy(F.desc("score"), "vec_id", "vec_mark")
+    pairs = pairs.repartition("query_id", "query_mark").dropDuplicates(["query_id", "query_mark", "vec_id", "vec_mark"])
     return pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
+def _sizes(rows: DataFrame, queries: DataFrame, keys: list[str], row_block: int, query_block: int) -> DataFrame:
+    """Blocks of every key that both sides have: at most tables x 2d rows for each length d of vectors."""
+    counts = lambda df, name: df.groupBy(*keys).agg(F.count("*").alias(name))
+    both = counts(rows, "r").join(counts(queries, "q"), keys)
+    blocks = lambda name, size: F.ceil(F.col(name) / size).cast("int")
+    return checkpoint(both.select(*keys, blocks("r", row_block).alias("row_blocks"), blocks("q", query_block).alias("query_blocks")))
+
+
 def nearest_neighbours(
     vectors: DataFrame, is_query: Column, k: int = 20, tables: int = TABLES, probes: int = PROBES,
     row_block: int = ROW_BLOCK, query_block: int = QUERY_BLOCK, id_col: str = "vec_id", vector_col: str = "embedding",
@@ -195,38 +216,28 @@ def nearest_neighbours(
     packed = vectors.select(
         F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("vec")
     ).mapInArrow(_pack, "id long, vec binary, norm double, dim int")
-    packed = checkpoint(packed)
-    shape = packed.agg(F.max("dim").alias("dim")).first()
-    if shape["dim"] is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim = shape["dim"]
-    usable = packed.filter(F.col("dim") == dim)
-    norms = usable.agg(F.min("norm").alias("low"), F.max("norm").alias("high")).first()
-    top = norms["high"] if norms["high"] > norms["low"] * 1.001 else None
+    # Repeated rows are combined before they are shuffled; the mark tells rows of one id apart.
+    packed = checkpoint(packed.distinct().withColumn("mark", F.xxhash64("vec")))
+    # One row for each length that occurs. Where norms differ, the largest one of the length is the scale.
+    shape = packed.groupBy("dim").agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
+    top = F.when(F.col("high") > F.col("low") * 1.001, F.col("high")).alias("top")
+    usable = packed.join(F.broadcast(checkpoint(shape.select("dim", top))), "dim").select("dim", "top", "id", "mark", "vec")
     # A limit on ranks goes before the shuffle as well, so a vector with many copies stays small.
     copies = Window.partitionBy("vec").orderBy("id")
-    kept = usable.withColumn("copy", F.row_number().over(copies)).filter(F.col("copy") <= k + 1).select("id", "vec")
-    queries = usable.filter(is_query).select("id", "vec")
-    shape_of = "table int, bucket int, id long, vec binary"
-    rows_in = checkpoint(kept.mapInArrow(_hash(dim, tables, probes, top, False), shape_of))
-    asked = queries.mapInArrow(_hash(dim, tables, probes, top, True), shape_of)
-    # At most tables x 2d rows, whatever the input.
-    counts = lambda df, name: df.groupBy("table", "bucket").agg(F.count("*").alias(name))
-    sizes = counts(rows_in, "r").join(counts(asked, "q"), ["table", "bucket"]).select(
-        "table", "bucket", F.ceil(F.col("r") / row_block).cast("int").alias("row_blocks"),
-        F.ceil(F.col("q") / query_block).cast("int").alias("query_blocks"),
-    )
-    sizes = spark.createDataFrame(sizes.collect(), sizes.schema)
-    found = checkpoint(_nearest(_in_blocks(rows_in, asked, ["table", "bucket"], sizes, k), k))
-    full = found.filter(F.col("rank") == k).select("query_id")
-    short = checkpoint(queries.join(full, queries["id"] == full["query_id"], "left_anti").select("id", "vec"))
-    n_short = short.count()
-    if n_short:
-        n_rows = kept.count()
-        blocks = spark.createDataFrame(
-            [(-(-n_rows // row_block), -(-n_short // query_block))], "row_blocks int, query_blocks int"
-        )
-        again = _nearest(_in_blocks(kept, short, [], blocks, k), k)
-        rest = found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti")
+    kept = usable.withColumn("copy", F.row_number().over(copies)).filter(F.col("copy") <= k + 1).drop("copy")
+    queries = usable.filter(is_query)
+    shape_of = "dim int, table int, bucket int, id long, mark long, vec binary"
+    rows_in = checkpoint(kept.mapInArrow(_hash(tables, probes, False), shape_of))
+    asked = queries.mapInArrow(_hash(tables, probes, True), shape_of)
+    keys = ["dim", "table", "bucket"]
+    found = _in_blocks(rows_in, asked, keys, _sizes(rows_in, asked, keys, row_block, query_block), k)
+    found = checkpoint(_nearest(found, k))
+    of_query = [F.col("query_id").alias("id"), F.col("query_mark").alias("mark")]
+    full = found.filter(F.col("rank") == k).select(*of_query)
+    short = checkpoint(queries.join(full, ["id", "mark"], "left_anti").select("dim", "id", "mark", "vec"))
+    if not short.isEmpty():
+        sizes = _sizes(kept, short, ["dim"], row_block, query_block)
+        again = _nearest(_in_blocks(kept, short, ["dim"], sizes, k), k)
+        rest = found.join(short.select(F.col("id").alias("query_id"), F.col("mark").alias("query_mark")), ["query_id", "query_mark"], "left_anti")
         found = rest.unionByName(again)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

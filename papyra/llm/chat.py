@@ -13,9 +13,10 @@ turns, sorted by turn within one task that reads them as a stream and keeps only
 a conversation of any length needs bounded memory. Its hash is a chain over its turns, which is
 why the turns of one conversation pass through one task.
 
-Defined results: a null text or role is empty; turns with the same number are ordered by role and
-text; a null turn comes first, a null conversation id is a conversation of its own. Repeated rows
-are turns each. Other columns are ignored, whatever their names; an empty table gives an empty result.
+Defined results: a null text or role is empty; turns with the same number are ordered by role, then by
+text (its UTF-8 bytes, before it is escaped); a null turn comes first, a null conversation id is a
+conversation of its own. Repeated rows are turns each. A part of an unknown type is an attachment of that
+type with the placeholder ``<other:n>`` and no tokens. A text of any length is one turn. Other columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,10 +37,10 @@ OPEN, CLOSE = "<s>", "</s>"
 ESCAPE = "\\"
 #: Strings that mean something to templates in use; the first sign, then the rest.
 CONTROL = re.compile(
-    r"(<|\[)(\\*)(/?s>|/?INST\]|</?SYS>>|\|[a-z_]{1,24}\|>|(?:image|audio|document):[0-9]+>)"
+    r"(<|\[)(\\*)(/?s>|/?INST\]|</?SYS>>|\|[a-z_]{1,24}\|>|(?:image|audio|document|other):[0-9]+>)"
 )
 _ESCAPED = re.compile(
-    r"(<|\[)\\(\\*)(/?s>|/?INST\]|</?SYS>>|\|[a-z_]{1,24}\|>|(?:image|audio|document):[0-9]+>)"
+    r"(<|\[)\\(\\*)(/?s>|/?INST\]|</?SYS>>|\|[a-z_]{1,24}\|>|(?:image|audio|document|other):[0-9]+>)"
 )
 
 #: Tokens that a part stands for: fixed for an image tile, by second of audio, by page of a document.
@@ -87,7 +88,8 @@ class Flattener:
 
     def visit(self, part: dict) -> None:
         kind = part.get("type") or "text"
-        getattr(self, f"visit_{kind}", self.visit_unknown)(part)
+        visit = {"text": self.visit_text, "image": self.visit_image, "audio": self.visit_audio, "document": self.visit_document}
+        visit.get(kind, self.visit_unknown)(part)
 
     def visit_text(self, part: dict) -> None:
         self.text.append(part.get("text") or "")
@@ -111,12 +113,12 @@ class Flattener:
         self._attach("document", part)
 
     def visit_unknown(self, part: dict) -> None:
-        raise ValueError(f"unknown content part {part.get('type')!r}")
+        self._attach(part["type"], part)
 
     def _attach(self, kind: str, part: dict) -> None:
         self._flush()
-        number, tokens = len(self.attachments), TOKENS[kind] * max(1, part.get("units") or 1)
-        self.out.append(f"<{kind}:{number}>")
+        number, tokens = len(self.attachments), TOKENS.get(kind, 0) * max(1, part.get("units") or 1)
+        self.out.append(f"<{kind if kind in TOKENS else 'other'}:{number}>")
         self.attachments.append({"number": number, "type": kind, "ref": part.get("ref"), "tokens": tokens})
         self.tokens += tokens
 
@@ -256,5 +258,17 @@ def digest_conversations(segments: DataFrame) -> DataFrame:
     thin = segments.select(
         "conv_id", "turn", "segment", "loss_start", "loss_end", F.size("attachments").cast("long").alias("n_att"), "n_expanded"
     )
-    # The segment starts with the role and goes on with the text, so it orders equal turn numbers.
-    return thin.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "segment").mapInArrow(run, schema)
+    rows = thin.repartition("conv_id").select("*", *_order(F.col("segment")))
+    return rows.sortWithinPartitions("conv_id", "turn", "__role", "__body").mapInArrow(run, schema)
+
+
+def _order(segment: Column) -> list[Column]:
+    """Role and text of a segment as they were, to order turns of one number by."""
+    head = F.instr(segment, "\n")
+    role = F.substring(segment, F.lit(len(OPEN) + 1), head - F.lit(len(OPEN) + 1))
+    body = F.substring(segment, head + 1, F.length(segment) - head - F.lit(len(CLOSE) + 1))
+    plain = lambda c: F.when(F.contains(c, F.lit(ESCAPE)), F.regexp_replace(c, _ESCAPED.pattern, "$1$2$3")).otherwise(c)
+    # What ``escape_role`` wrote out is undone in the same order: line feeds are marked so that "\\n" stays apart from "\n".
+    parts = F.split(plain(role), r"\\\\", -1)
+    unfed = F.transform(parts, lambda x: F.replace(x, F.lit("\\n"), F.lit("\n")))
+    return [F.array_join(unfed, "\\").alias("__role"), plain(body).alias("__body")]

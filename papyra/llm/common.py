@@ -39,27 +39,34 @@ def space_words(raw: bytes) -> list[bytes]:
 
 
 class Memo(dict):
-    """A bounded memo: ``memo[key]`` computes what is missing and forgets all when it is full."""
+    """A bounded memo: ``memo[key]`` computes what is missing.
+
+    Once it holds ``limit`` keys it starts anew, while what it held before stays at hand: keys that
+    come again move over, the others go. So it never holds more than twice the limit.
+    """
 
     def __init__(self, fn: Callable, limit: int):
         super().__init__()
-        self.fn, self.limit = fn, limit
+        self.fn, self.limit, self.old = fn, limit, {}
 
     def __missing__(self, key):
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.fn(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.fn(key)
+        self[key] = value
         return value
 
 
-#: What ``make`` gave to earlier tasks of this worker, by token; the two newest.
+#: What ``make`` gave to earlier tasks of this worker, by token; only the newest, as it may be large.
 _MADE: dict[str, Callable] = {}
 
 
 def _made(token: str, make: Callable[..., Callable], args: tuple) -> Callable:
     if token not in _MADE:
-        while len(_MADE) > 1:
-            del _MADE[next(iter(_MADE))]
+        _MADE.clear()
         _MADE[token] = make(*args)
     return _MADE[token]
 

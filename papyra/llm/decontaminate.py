@@ -5,15 +5,17 @@ not none, is one window). Their hashes form a set that every worker holds; each
 scanned with one window of ids per place, a place whose hash is in the set is verified word by
 word, and all words under verified windows are hit. Texts stay where they are: there is no shuffle.
 
-The set is held by workers only while the benchmark's text is at most ``max_held_bytes``, which is
-measured first. A larger benchmark goes another way: windows of both sides meet in a join on
-their words (skew is split by the adaptive join), and hits come together by document.
+The set is held by workers only while the benchmark has at most ``max_windows`` windows and its words
+at most ``MAX_WORD_BYTES``, both counted first: sorted hashes, one buffer of word numbers for verification
+and the vocabulary, about 150 bytes a window. It is built once a worker. A larger benchmark goes another
+way: windows of both sides meet in a join on their words (skew is split by the adaptive join), and hits
+come together by document. Both ways give the same rows.
 
 Words are lower-cased (A-Z) runs of ASCII letters, digits and non-ASCII characters.
 
 Defined results: null and empty texts have no words and no hits, and an item without words has
 no window. Repeated documents are scanned each, repeated items count once for each distinct id.
-A null item id is no item. Other columns are ignored, whatever their names; empty tables give no hits.
+A null item id is no item. Texts of any length are scanned whole, in linear time. Other columns are ignored, whatever their names; empty tables give no hits.
 """
 
 from __future__ import annotations
@@ -30,8 +32,9 @@ from papyra.session import checkpoint
 
 #: Words of a window.
 WIDTH = 10
-#: Most bytes of benchmark text whose windows every worker holds.
-MAX_HELD_BYTES = 32 << 20
+#: Most windows that every worker holds, and most bytes of their words.
+MAX_WINDOWS = 1_000_000
+MAX_WORD_BYTES = 64 << 20
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -43,53 +46,64 @@ class _Ids(dict):
 
 
 class WindowSet:
-    """The windows of all items, by width, hash and words."""
+    """The windows of all items: sorted hashes by width, and where the words of each stand in one buffer."""
 
     def __init__(self, items: list[tuple[object, bytes]], width: int = WIDTH):
+        """``items``: ids and their words, joined by blanks."""
         self.ids = _Ids()
-        windows: dict[int, dict[tuple[int, ...], set]] = {}
+        self.items: list[object] = []
+        buffer, begins, widths, owners, at = [], [], [], [], 0
         for item, text in items:
-            words = alnum_words(text)
+            words = text.split()
             if not words:
                 continue
-            numbers = [self.ids.setdefault(w, len(self.ids) + 1) for w in words]
+            buffer.append(np.array([self.ids.setdefault(w, len(self.ids) + 1) for w in words], dtype=np.uint32))
             n = min(width, len(words))
-            for i in range(len(words) - n + 1):
-                windows.setdefault(n, {}).setdefault(tuple(numbers[i : i + n]), set()).add(item)
-        self.windows = windows
-        self.hashes = {
-            n: np.unique(self._hash(np.array(list(w), dtype=np.uint64).T)) for n, w in windows.items()
-        }
-        self.least = min(windows, default=0)
+            places = len(words) - n + 1
+            begins.append(np.arange(at, at + places))
+            widths.append(np.full(places, n, dtype=np.int32))
+            owners.append(np.full(places, len(self.items), dtype=np.int32))
+            self.items.append(item)
+            at += len(words)
+        join = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
+        self.words = join(buffer, np.uint32)
+        begins, widths, owners = join(begins, np.int64), join(widths, np.int32), join(owners, np.int32)
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n in np.unique(widths).tolist():
+            own = begins[widths == n]
+            h = self._hash([self.words[own + k] for k in range(n)])
+            order = np.argsort(h, kind="stable")
+            self.tables[n] = h[order], own[order], owners[widths == n][order]
+        self.least = min(self.tables, default=0)
 
     @staticmethod
     def _hash(columns) -> np.ndarray:
         h = np.zeros(len(columns[0]), dtype=np.uint64)
         for c in columns:
-            h = (h ^ c) * _MIX
+            h = (h ^ c.astype(np.uint64)) * _MIX
             h ^= h >> np.uint64(29)
         return h
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
         """Merged hit spans (first word, after the last word) and the items of verified windows."""
-        if not self.windows or len(words) < self.least:
+        if not self.tables or len(words) < self.least:
             return [], set()
-        ids = np.fromiter(map(self.ids.__getitem__, words), dtype=np.uint64, count=len(words))
+        ids = np.fromiter(map(self.ids.__getitem__, words), dtype=np.uint32, count=len(words))
         edges = np.flatnonzero(np.diff(np.concatenate(([0], (ids != 0).view(np.int8), [0]))))
         starts, ends = edges[::2], edges[1::2]  # runs of words that the benchmark has at all
         spans, items = [], set()
-        for n, held in self.windows.items():
-            long = np.flatnonzero(ends - starts >= n)
-            for r in long:
+        for n, (table, begins, owners) in self.tables.items():
+            for r in np.flatnonzero(ends - starts >= n):
                 run = ids[starts[r] : ends[r]]
                 places = len(run) - n + 1
                 h = self._hash([run[k : k + places] for k in range(n)])
-                table = self.hashes[n]
-                at = np.minimum(np.searchsorted(table, h), len(table) - 1)
-                for i in np.flatnonzero(table[at] == h).tolist():
-                    found = held.get(tuple(run[i : i + n].tolist()))
-                    if found:  # the words themselves agree
-                        items |= found
+                low = np.searchsorted(table, h, side="left")
+                found = np.flatnonzero(table[np.minimum(low, len(table) - 1)] == h)
+                high = np.searchsorted(table, h[found], side="right")
+                for i, a, b in zip(found.tolist(), low[found].tolist(), high.tolist(), strict=True):
+                    same = (self.words[begins[a:b, None] + np.arange(n)] == run[i : i + n]).all(axis=1)
+                    if same.any():  # the words themselves agree
+                        items.update(self.items[o] for o in owners[a:b][same].tolist())
                         spans.append((int(starts[r]) + i, int(starts[r]) + i + n))
         spans.sort()
         merged: list[tuple[int, int]] = []
@@ -102,7 +116,7 @@ class WindowSet:
 
 
 def _scanner(items, width):
-    windows = WindowSet(items, width)
+    windows = WindowSet(items.value, width)
 
     def fn(texts: list[bytes]):
         n_words, spans, found = [], [], []
@@ -120,15 +134,29 @@ def _scanner(items, width):
 _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
-def _held_items(benchmark: DataFrame, item_col: str, text_col: str) -> tuple[DataFrame, int]:
-    """The items that count and the bytes of their texts."""
-    items = benchmark.select(F.col(f"`{item_col}`").alias("item"), text_bytes(text_col).alias("raw"))
-    items = items.filter(F.col("item").isNotNull())
-    return items, items.agg(F.coalesce(F.sum(F.length("raw")), F.lit(0)).alias("n")).first()["n"]
+def _item_words():
+    def fn(texts: list[bytes]):
+        words = [alnum_words(t) for t in texts]
+        return [b" ".join(w) for w in words], [len(w) for w in words]
+
+    return fn
+
+
+def _held_items(benchmark: DataFrame, item_col: str, text_col: str, width: int, max_windows: int):
+    """The items with words (``item``, ``raw``: the words), and a broadcast of them if their windows may be held."""
+    items = benchmark.select(F.col(f"`{item_col}`").alias("item"), text_bytes(text_col).alias("text")).filter("item IS NOT NULL")
+    out = T.StructType([T.StructField("raw", T.BinaryType()), T.StructField("n", T.LongType())])
+    items = map_rows(items, [F.col("text")], out, _item_words, keep=["item"]).filter("n > 0")
+    windows = F.sum(F.greatest(F.col("n") - (width - 1), F.lit(1)))
+    size = items.agg(F.coalesce(windows, F.lit(0)).alias("n"), F.coalesce(F.sum(F.length("raw")), F.lit(0)).alias("b")).first()
+    if size["n"] > max_windows or size["b"] > MAX_WORD_BYTES:
+        return items.select("item", "raw"), None
+    held = [(r["item"], bytes(r["raw"])) for r in items.collect()]
+    return items.select("item", "raw"), benchmark.sparkSession.sparkContext.broadcast(held)
 
 
 def _cutter(items, width, drop):
-    windows = WindowSet(items, width)
+    windows = WindowSet(items.value, width)
 
     def fn(texts: list[bytes]):
         found = [windows.scan(alnum_words(t))[0] for t in texts]
@@ -146,19 +174,18 @@ def _span_cutter():
     return fn
 
 
-def _without_hits(docs, benchmark, drop, width, max_held_bytes, text_col, item_col, item_text_col) -> DataFrame:
+def _without_hits(docs, benchmark, drop, width, max_windows, text_col, item_col, item_text_col) -> DataFrame:
     names = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
     text = names[text_col]
-    items, size = _held_items(benchmark, item_col, item_text_col)
+    _, held = _held_items(benchmark, item_col, item_text_col, width, max_windows)
     out = T.StructType([T.StructField("__hit", T.BooleanType()), T.StructField("__cut", T.StringType())])
-    if size <= max_held_bytes:
-        held = [(r["item"], bytes(r["raw"])) for r in items.collect()]
+    if held is not None:
         done = map_rows(rows, [text_bytes(text)], out, _cutter, (held, width, drop), keep=list(names.values()))
     else:
         # A row number made here would change on a retry, so it is fixed by a checkpoint first.
         rows = checkpoint(rows.withColumn("__row", F.monotonically_increasing_id()))
-        spans = find_contamination(rows, benchmark, width, max_held_bytes, "__row", text, item_col, item_text_col)
+        spans = find_contamination(rows, benchmark, width, max_windows, "__row", text, item_col, item_text_col)
         joined = rows.join(spans.select("__row", "spans"), "__row")
         if drop:
             done = joined.withColumn("__hit", F.size("spans") > 0)
@@ -172,31 +199,30 @@ def _without_hits(docs, benchmark, drop, width, max_held_bytes, text_col, item_c
 
 
 def keep_clean(
-    docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_held_bytes: int = MAX_HELD_BYTES,
+    docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_windows: int = MAX_WINDOWS,
     text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
 ) -> DataFrame:
     """The rows without any verified window, with all their columns."""
-    return _without_hits(docs, benchmark, True, width, max_held_bytes, text_col, item_col, item_text_col)
+    return _without_hits(docs, benchmark, True, width, max_windows, text_col, item_col, item_text_col)
 
 
 def cut_out(
-    docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_held_bytes: int = MAX_HELD_BYTES,
+    docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_windows: int = MAX_WINDOWS,
     text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
 ) -> DataFrame:
     """All rows, their texts without the words under verified windows and what stands between these."""
-    return _without_hits(docs, benchmark, False, width, max_held_bytes, text_col, item_col, item_text_col)
+    return _without_hits(docs, benchmark, False, width, max_windows, text_col, item_col, item_text_col)
 
 
 def find_contamination(
-    docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_held_bytes: int = MAX_HELD_BYTES,
+    docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_windows: int = MAX_WINDOWS,
     id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
 ) -> DataFrame:
     """``id, n_words, spans, items``: hit spans in words and the ids (as sorted texts) of items found."""
-    items, size = _held_items(benchmark, item_col, item_text_col)
+    items, held = _held_items(benchmark, item_col, item_text_col, width, max_windows)
     rows = docs.select(F.col(f"`{id_col}`").alias("__id"), text_bytes(text_col).alias("__text"))
-    if size > max_held_bytes:
+    if held is None:
         return _by_join(rows, items, width, id_col)
-    held = [(r["item"], bytes(r["raw"])) for r in items.collect()]
     out = T.StructType(
         [T.StructField("n_words", T.LongType()), T.StructField("spans", _SPANS),
          T.StructField("items", T.ArrayType(T.StringType()))]

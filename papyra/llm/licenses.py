@@ -17,10 +17,13 @@ its words at consecutive places. The templates are a bounded list, checked again
 one pass counts words (partial counts, at most one row per template word and task), one joins.
 
 Blocks are lines and paragraphs (parts between empty lines), so notices that wrap over several
-lines are found as well.
+lines are found as well; for templates of several paragraphs also every run of as many paragraphs.
+Short notices have to stand in their order: what meets the threshold is verified word by word.
 
-Defined results: null and empty texts have no words, no labels and score 0; repeated rows are
-judged each; other columns are ignored, whatever their names; an empty table gives an empty
+Templates are an argument: a list, or a table (``templates_of``).
+
+Defined results: null and empty texts have no words, no labels and score 0; texts of any length are
+scanned whole; repeated rows are judged each; other columns are ignored, whatever their names; an empty table gives an empty
 result. Where two templates tie, both labels are given.
 """
 
@@ -36,6 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from papyra.llm.common import alnum_words, map_rows, text_bytes
+from papyra.llm.license_texts import NOTICES, SENTENCES, TEXTS
 
 #: Most distinct words of all templates together; they are held by every worker.
 MAX_TEMPLATE_WORDS = 100_000
@@ -49,48 +53,39 @@ class Template:
     label: str
     text: str
     containment: float = 0.8
+    in_order: bool = False
 
     @property
     def words(self) -> frozenset[bytes]:
         return frozenset(alnum_words(self.text.encode()))
 
+    @property
+    def paragraphs(self) -> int:
+        return len(_BLANK_LINE.split(self.text.encode()))
+
+
+_BLANK_LINE = re.compile(rb"\n[ \t\r]*\n")
 
-#: Short notices and first paragraphs of well-known licenses.
 TEMPLATES = (
-    Template("apache-2.0", "Licensed under the Apache License, Version 2.0", 1.0),
-    Template(
-        "apache-2.0",
-        "you may not use this file except in compliance with the License. You may obtain a copy of the License at",
-    ),
-    Template("mit", "Licensed under the MIT License", 1.0),
-    Template("mit", "Released under the MIT License", 1.0),
-    Template(
-        "mit",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated"
-        " documentation files, to deal in the Software without restriction",
-    ),
-    Template("bsd", "Licensed under the BSD License", 1.0),
-    Template(
-        "bsd",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that"
-        " the following conditions are met",
-    ),
-    Template("gpl", "GNU General Public License", 1.0),
-    Template(
-        "gpl",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General"
-        " Public License as published by the Free Software Foundation",
-    ),
-    Template("mpl-2.0", "Mozilla Public License version 2.0", 1.0),
-    Template("cc-by-4.0", "Licensed under CC BY 4.0", 1.0),
-    Template("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0", 1.0),
-    Template("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0", 1.0),
-    Template("cc-by-nd-4.0", "Licensed under CC BY-ND 4.0", 1.0),
-    Template("cc0", "CC0 1.0 Universal public domain dedication"),
-    Template("proprietary", "No part of this publication may be reproduced without prior written permission"),
+    *(Template(label, text, 1.0, True) for label, text in NOTICES),
+    *(Template(label, text) for label, text in SENTENCES),
+    *(Template(label, text) for label, text in TEXTS),
 )
 
 
+def templates_of(table: DataFrame) -> tuple[Template, ...]:
+    """The templates in a table ``label, text, containment``; at most ``MAX_TEMPLATE_WORDS`` rows."""
+    rows = table.select("label", "text", F.col("containment").cast("double")).limit(MAX_TEMPLATE_WORDS + 1).collect()
+    if len(rows) > MAX_TEMPLATE_WORDS:
+        raise ValueError(f"at most {MAX_TEMPLATE_WORDS} templates are supported")
+    return tuple(sorted((Template(r[0], r[1], r[2]) for r in rows if alnum_words((r[1] or "").encode())), key=lambda t: (t.label, t.text)))
+
+
+def _stands(words: list[bytes], phrase: list[bytes]) -> bool:
+    n = len(phrase)
+    return any(words[i : i + n] == phrase for i, w in enumerate(words) if w == phrase[0])
+
+
 def _word_counter(vocabulary: frozenset[bytes]):
     def fn(texts: list[bytes]):
         found: Counter[bytes] = Counter()
@@ -126,7 +121,8 @@ class TemplateIndex:
         for n, t in enumerate(templates):
             words = sorted(t.words, key=order.__getitem__)
             need = max(1, math.ceil(t.containment * len(words) - 1e-9))
-            self.templates.append((t.label, words, need))
+            order_of = alnum_words(t.text.encode()) if t.in_order else None
+            self.templates.append((t.label, words, need, order_of, t.paragraphs))
             for place, w in enumerate(words[: len(words) - need + 1]):
                 self.by_word.setdefault(w, []).append((n, place))
         self.phrases = []
@@ -136,23 +132,27 @@ class TemplateIndex:
             self.phrases.append((label, words))
             self.phrase_words.setdefault(min(words, key=order.__getitem__), []).append(n)
         self.first = frozenset(self.by_word) | frozenset(self.phrase_words)
+        #: The lengths in paragraphs of templates that have several.
+        self.runs = sorted({t.paragraphs for t in templates} - {1})
 
-    def block(self, words: list[bytes]) -> dict[int, float]:
-        """The templates that a block meets, with the containment."""
+    def block(self, words: list[bytes], paragraphs: int = 1) -> dict[int, float]:
+        """The templates that a block meets, with the containment; a run of several paragraphs: templates as long."""
         held = sorted(self.vocabulary.intersection(words), key=self.order.__getitem__)
         own, tried, met = frozenset(held), set(), {}
         for j, w in enumerate(held):
             for n, i in self.by_word.get(w, ()):
                 if n in tried:
                     continue
-                _, template, need = self.templates[n]
+                _, template, need, order_of, long = self.templates[n]
+                if paragraphs > 1 and paragraphs != long:
+                    continue
                 if len(held) < need or min(len(template) - i, len(held) - j) < need:
                     # Rarer words of both sides came first and did not match: nothing before i and j is shared.
                     tried.add(n)
                     continue
                 tried.add(n)
                 shared = sum(x in own for x in template)
-                if shared >= need:
+                if shared >= need and (order_of is None or _stands(words, order_of)):
                     met[n] = shared / len(template)
         return met
 
@@ -177,7 +177,16 @@ class TemplateIndex:
         return sorted(out)
 
 
-_BLANK_LINE = re.compile(rb"\n[ \t\r]*\n")
+def _blocks(text: bytes, runs: list[int]):
+    """Every block of a text and how many paragraphs it is."""
+    paragraphs = _BLANK_LINE.split(text)
+    for b in text.split(b"\n"):
+        yield b, 1
+    for b in paragraphs:
+        yield b, 1
+    for n in runs:
+        for i in range(len(paragraphs) - n + 1):
+            yield b"\n".join(paragraphs[i : i + n]), n
 
 
 def _scanner(templates, phrases, frequency):
@@ -197,12 +206,11 @@ def _scanner(templates, phrases, frequency):
             hits = index.places(words)
             places.append([{"word": at, "label": index.phrases[n][0]} for at, n in hits])
             met: dict[int, float] = {}
-            for blocks in (t.split(b"\n"), _BLANK_LINE.split(t)):
-                for b in blocks:
-                    w = alnum_words(b)
-                    if not first.isdisjoint(w):
-                        for n, c in index.block(w).items():
-                            met[n] = max(c, met.get(n, 0.0))
+            for b, paragraphs in _blocks(t, index.runs):
+                w = alnum_words(b)
+                if not first.isdisjoint(w):
+                    for n, c in index.block(w, paragraphs).items():
+                        met[n] = max(c, met.get(n, 0.0))
             found.append([{"label": index.templates[n][0], "containment": c} for n, c in sorted(met.items())])
             scores.append(max([1.0] * bool(hits) + list(met.values()), default=0.0))
         return n_words, places, found, scores

@@ -14,8 +14,9 @@ them (those with the smallest hash of their id) train the model on the driver; t
 bound, everything else covers all rows. Ids, labels, languages and sources are no features.
 
 Defined results: null and empty texts have features of zero and a score like any other. Rows with a
-null label or id do not train; of repeated labels the largest counts. Where no usable
-label is left, or only one kind, every score is the share of good labels (0.5 without any).
+null label or id do not train; of repeated labels the largest counts, of differing texts of one id the
+one with the smallest hash. Ties between bins, cuts and pairs go to the first. Texts of any length are
+read whole. Where no usable label is left, or only one kind, every score is the share of good labels (0.5 without any).
 Repeated rows are scored each; other columns are ignored, whatever their names.
 """
 
@@ -237,10 +238,13 @@ def train(
     # A top-n by hash: every task hands on at most ``sample`` rows, and the picked ids are bounded by it too.
     picked = usable.orderBy(F.xxhash64("__id"), "__id").limit(sample)
     texts = docs.select(F.col(f"`{id_col}`").alias("__id"), text_bytes(text_col).alias("__text"))
-    rows = texts.join(F.broadcast(picked), "__id")
+    # One text an id, before anything is collected: a task hands on at most ``sample`` of them.
+    rows = texts.join(F.broadcast(picked), "__id").groupBy("__id", "__y").agg(
+        F.min(F.struct(F.xxhash64("__text").alias("h"), "__text")).alias("t")
+    )
     out = T.StructType([T.StructField("x", T.ArrayType(T.DoubleType()))])
-    got = map_rows(rows, [F.col("__text")], out, _feature_rows, keep=["__id", "__y"]).collect()
-    got = sorted({r["__id"]: r for r in got}.values(), key=lambda r: r["__id"])  # one order on every run
+    got = map_rows(rows, [F.col("t.__text")], out, _feature_rows, keep=["__id", "__y"]).collect()
+    got = sorted(got, key=lambda r: r["__id"])  # one order on every run
     return fit(np.array([r["x"] for r in got]).reshape(len(got), len(FEATURES)), np.array([r["__y"] for r in got], float))
 
 

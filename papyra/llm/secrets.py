@@ -10,9 +10,10 @@ reaches the threshold of that part's class. Candidates that a pattern span cover
 
 Positions are in code points, the end exclusive. They come from the lengths of the matches and of
 the parts between them, so each kind costs one split and one extraction, and only in texts that have
-a match at all. There is no shuffle and no Python.
+a match at all. Lengths are summed up in blocks (see ``running``), and texts are put together again from
+byte places, so the work is linear in the text and in its matches. There is no shuffle and no Python.
 
-Defined results: null and empty texts have no spans; repeated rows are scanned each; other columns
+Defined results: null and empty texts have no spans; texts of any length are scanned whole; repeated rows are scanned each; other columns
 are kept by ``redact`` and ignored by ``find_secrets``; an empty table gives an empty result. Spans of
 different kinds may overlap; for equal starts they are in the order of ``KINDS``.
 """
@@ -55,32 +56,64 @@ ALLOWED = (
 )
 _SIGNS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
 _SCALE = 10**9
-SPAN = "array<struct<start:int,kind:int,end:int>>"
+#: ``first`` and ``last`` are the same span in bytes of UTF-8.
+SPAN = "array<struct<start:int,kind:int,end:int,first:int,last:int>>"
+#: Values that are summed up one by one; a power of two.
+STEP = 1 << 7
+
+
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, also where it is used within lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(values: Column, of, zero: Column) -> Column:
+    """What ``of`` (associative) makes of the values up to each place, itself included, in two levels of ``STEP``."""
+    fold = lambda a: F.aggregate(a, zero, of)
+
+    def by_block(v: Column) -> Column:
+        starts = F.when(F.size(v) > 0, F.sequence(F.lit(0), F.size(v) - 1, F.lit(STEP))).otherwise(F.array().cast("array<int>"))
+        return let(F.transform(starts, lambda at: fold(F.slice(v, at + 1, F.lit(STEP)))), lambda sums: up_to(v, sums))
+
+    def up_to(v: Column, sums: Column) -> Column:
+        before = F.transform(sums, lambda _, i: fold(F.slice(sums, F.lit(1), i)))
+        block = lambda i: F.shiftright(i, STEP.bit_length() - 1)
+        within = lambda i: fold(F.slice(v, i - i % STEP + 1, i % STEP + 1))
+        return let(before, lambda b: F.transform(v, lambda _, i: of(F.get(b, block(i)), within(i))))
+
+    return let(values, by_block)
 
 
 def _matches(text: Column, pattern: str) -> Column:
-    """Every match with its place: ``array<struct<start, end, match>>``, leftmost and not overlapping."""
+    """Every match with its place: ``array<struct<start, end, first, last, match>>``, leftmost and not overlapping."""
     # The text is matched as a whole and what lies between matches gives the places. A match is never empty.
     between = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    pairs = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("gap"), found.alias("match"))
-    kind = "struct<at:int,out:array<struct<start:int,end:int,match:string>>>"
-
-    def step(acc, x):
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["match"])
-        one = F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out"))
-    every = F.aggregate(pairs, start.cast(kind), step, lambda acc: acc["out"])
-    none = F.array().cast("array<struct<start:int,end:int,match:string>>")
+    pairs = let(found, lambda m: F.arrays_zip(F.slice(between, F.lit(1), F.size(m)).alias("gap"), m.alias("match")))
+    length = lambda x, size: size(x["gap"]) + size(x["match"])
+    ends = lambda p, size: running(F.transform(p, lambda x: length(x, size)), lambda a, b: a + b, F.lit(0))
+
+    def place(x: Column, end: Column, last: Column) -> Column:
+        return F.struct(
+            (end - F.length(x["match"])).alias("start"), end.alias("end"),
+            (last - F.octet_length(x["match"])).alias("first"), last.alias("last"), x["match"].alias("match"),
+        )
+
+    every = let(
+        pairs,
+        lambda p: F.transform(
+            F.arrays_zip(p.alias("x"), ends(p, F.length).alias("end"), ends(p, F.octet_length).alias("last")),
+            lambda y: place(y["x"], y["end"], y["last"]),
+        ),
+    )
+    none = F.array().cast("array<struct<start:int,end:int,first:int,last:int,match:string>>")
     return F.when(text.rlike(pattern), every).otherwise(none)
 
 
 def _spans(found: Column, kind: str) -> Column:
+    number = F.lit(KINDS.index(kind)).alias("kind")
     return F.transform(
-        found, lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), m["end"].alias("end"))
+        found, lambda m: F.struct(m["start"].alias("start"), number, m["end"].alias("end"), m["first"].alias("first"), m["last"].alias("last"))
     )
 
 
@@ -159,32 +192,41 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def _with_spans(rows: DataFrame, text_col: str, window: int) -> DataFrame:
     base, extra = secret_spans(F.col(f"`{text_col}`"), window)
-    found = rows.withColumns({"__base": F.array_sort(base.cast(SPAN)), "__extra": extra.cast(SPAN)})
-    added = F.filter(
-        "__extra",
-        lambda e: ~F.exists("__base", lambda b: (b["start"] <= e["start"]) & (e["end"] <= b["end"])),
-    )
-    spans = F.when(F.size("__extra") == 0, F.col("__base")).otherwise(F.array_sort(F.concat("__base", added)))
-    return found.withColumn("__spans", spans).drop("__extra")
+    # Sorted by start and kind, so that every pattern span that could cover a candidate stands before it.
+    every = F.array_sort(F.concat(base.cast(SPAN), extra.cast(SPAN)))
+    pattern_end = lambda s: F.when(s["kind"] < KINDS.index("entropy"), s["end"]).otherwise(F.lit(0))
+
+    def uncovered(spans: Column) -> Column:
+        ends = running(F.transform(spans, pattern_end), lambda a, b: F.greatest(a, b), F.lit(0))
+        return let(ends, lambda e: F.filter(spans, lambda s, i: (s["kind"] < KINDS.index("entropy")) | (F.get(e, i) < s["end"])))
+
+    found = rows.withColumn("__every", every)
+    patterns = F.filter("__every", lambda s: s["kind"] < KINDS.index("entropy"))
+    kept = F.when(F.size(patterns) == F.size("__every"), F.col("__every")).otherwise(let(F.col("__every"), uncovered))
+    return found.withColumns({"__base": patterns, "__spans": kept}).drop("__every")
 
 
 def redact(docs: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """The same rows and columns; every span of a text is replaced by ``[SECRET]``, overlapping spans by one."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     found = _with_spans(docs.withColumn("__text", text), "__text", window)
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc, x):
-        before = F.substring(F.col("__text"), acc["at"] + 1, x["start"] - acc["at"])
-        return F.when(
-            x["start"] >= acc["at"],
-            F.struct(x["end"].alias("at"), F.concat(acc["out"], before, F.lit("[SECRET]")).alias("out")),
-        ).otherwise(F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["out"].alias("out")))
-
-    clean = F.aggregate(
-        "__spans", state, step,
-        lambda acc: F.concat(acc["out"], F.substring(F.col("__text"), acc["at"] + 1, F.length("__text"))),
-    )
+
+    def cut(x: Column) -> Column:
+        """The parts that stay, from byte places; ``e``: the largest end up to each span."""
+        raw, spans = x["raw"], x["spans"]
+        before = lambda e, i: F.when(i == 0, F.lit(0)).otherwise(F.get(e, i - 1))
+        part = lambda a, b: F.substring(raw, a + 1, b - a).cast("string")
+
+        def pieces(e: Column) -> Column:
+            kept = F.transform(
+                spans, lambda s, i: F.when(s["first"] >= before(e, i), F.concat(part(before(e, i), s["first"]), F.lit("[SECRET]"))).otherwise(F.lit(""))
+            )
+            return F.concat(F.array_join(kept, ""), part(F.element_at(e, -1), F.octet_length(raw)))
+
+        ends = running(F.transform(spans, lambda s: s["last"]), lambda a, b: F.greatest(a, b), F.lit(0))
+        return let(ends, pieces)
+
+    clean = let(F.struct(F.col("__text").cast("binary").alias("raw"), F.col("__spans").alias("spans")), cut)
     new = F.when(F.size("__spans") > 0, clean).otherwise(F.col(f"`{text_col}`"))
     return found.withColumn(text_col, new).select(*[F.col(f"`{c}`") for c in docs.columns])
 

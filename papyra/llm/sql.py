@@ -13,7 +13,7 @@ WITH t AS (
   UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), e AS (
   SELECT *, regexp_replace(text,
-    '(<|\[)(\\*)(/?s>|/?INST\]|</?SYS>>|\|[a-z_]{1,24}\|>|(?:image|audio|document):[0-9]+>)', '\1\\\2\3', 'g') AS safe
+    '(<|\[)(\\*)(/?s>|/?INST\]|</?SYS>>|\|[a-z_]{1,24}\|>|(?:image|audio|document|other):[0-9]+>)', '\1\\\2\3', 'g') AS safe
   FROM t
 )
 SELECT conv_id, count(*) AS n_turns,

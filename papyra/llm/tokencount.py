@@ -24,10 +24,11 @@ from papyra.llm.common import Memo, map_rows, text_bytes
 from papyra.llm.pairmerge import BITS, merge
 
 #: Words whose count one worker remembers.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 500_000
 
 #: Code points that newer Unicode tables call letters or numbers, while the vocabulary's
-#: library, built on older tables, does not: ranges in hexadecimal, found by comparison.
+#: library, built on older tables, does not: ranges in hexadecimal, found by encoding every code point between
+#: two letters with both (a word that is cut there is one more token) and comparing.
 NEWER = (
     "558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd a7e2 a7f1 ab6c-ab6d 107bb-107bf 10940-10959 "
     "10ec5-10ec7 10ed9-10eee 11b0a 11db0-11ddb 11de0-11de9 11df1 1246f 12475-1247f 12550-12686 16ea0-16eb8 "
@@ -110,6 +111,7 @@ def count_tokens(
     counted = map_rows(
         docs.select(F.col(f"`{id_col}`").alias("__id"), text_bytes(text_col).alias("__text")),
         [F.col("__text")], out, _counter, (vocabulary,), keep=["__id"],
+        token=f"pair counts {vocabulary}",
     )
     return counted.select(
         F.col("__id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")

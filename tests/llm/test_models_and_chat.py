@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import zlib
 
 import numpy as np
@@ -55,6 +56,100 @@ def test_scores_are_bin_additions():
         assert score == pytest.approx(1 / (1 + np.exp(-z)))
 
 
+def slow_fit(x, y, bins, rounds, pairs, pair_rounds, rate):
+    """The same model by loops over rows: tables by value of a feature's bin."""
+    n, d = len(x), len(x[0])
+    share = min(max(sum(y) / n, 1e-3), 1 - 1e-3)
+    intercept = float(np.log(share / (1 - share)))
+    cuts = [sorted(set(np.quantile([r[i] for r in x], [k / bins for k in range(1, bins)]).tolist())) for i in range(d)]
+    at = [[sum(c <= v for c in cuts[i]) for i, v in enumerate(r)] for r in x]
+    sizes = [len(c) + 1 for c in cuts]
+    score = [intercept] * n
+    leaf, gain = lambda g, h: g / (h + 1), lambda g, h: g * g / (h + 1)
+
+    def sums(rows):
+        p = [1 / (1 + np.exp(-score[r])) for r in rows]
+        return sum(y[r] - q for r, q in zip(rows, p, strict=True)), sum(max(q * (1 - q), 1e-6) for q in p)
+
+    def best(rows, i, lo, hi):
+        found = (0.0, None)
+        for cut in range(lo + 1, hi):
+            a, b = sums([r for r in rows if at[r][i] < cut]), sums([r for r in rows if at[r][i] >= cut])
+            g = gain(*a) + gain(*b) - gain(a[0] + b[0], a[1] + b[1])
+            if min(a[1], b[1]) >= 2 and g > found[0] + 1e-12:
+                found = (g, cut)
+        return found
+
+    tables = [[0.0] * s for s in sizes]
+    for _ in range(rounds):
+        for i in range(d):
+            g, cut = best(range(n), i, 0, sizes[i])
+            edges = [0, sizes[i]]
+            if g > 1e-9:
+                parts = [best([r for r in range(n) if lo <= at[r][i] < hi], i, lo, hi) for lo, hi in ((0, cut), (cut, sizes[i]))]
+                more = max(parts, key=lambda p: p[0])
+                edges = sorted({0, cut, sizes[i]} | ({more[1]} if more[0] > 1e-9 else set()))
+            steps = []
+            for lo, hi in itertools.pairwise(edges):
+                steps.append((lo, hi, rate * leaf(*sums([r for r in range(n) if lo <= at[r][i] < hi]))))
+            for lo, hi, step in steps:
+                for b in range(lo, hi):
+                    tables[i][b] += step
+            for r in range(n):
+                score[r] += next(step for lo, hi, step in steps if lo <= at[r][i] < hi)
+
+    def cross(i, j):
+        found = (0.0, None, None)
+        whole = sums(range(n))
+        for a in range(1, sizes[i]):
+            for b in range(1, sizes[j]):
+                cells = [sums([r for r in range(n) if (at[r][i] < a) == p and (at[r][j] < b) == q]) for p in (True, False) for q in (True, False)]
+                g = sum(gain(*c) for c in cells) - gain(*whole)
+                if min(c[1] for c in cells) >= 2 and g > found[0] + 1e-12:
+                    found = (g, (a, b), [leaf(*c) for c in cells])
+        return found
+
+    ranked = sorted(((cross(i, j)[0], i, j) for i in range(d) for j in range(i)), reverse=True)[:pairs]
+    chosen = [(i, j) for g, i, j in ranked if g > 0]
+    for _ in range(pair_rounds):
+        for i, j in chosen:
+            g, cut, leaves = cross(i, j)
+            if cut is not None and g > 1e-9:
+                for r in range(n):
+                    score[r] += rate * leaves[2 * (at[r][i] >= cut[0]) + (at[r][j] >= cut[1])]
+    return tables, chosen, [1 / (1 + np.exp(-s)) for s in score]
+
+
+def test_boosting_like_brute_force():
+    rng = np.random.default_rng(6)
+    x = rng.random((70, 3))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.4)).astype(float)
+    model = Q.fit(x, y, bins=5, rounds=3, pairs=2, pair_rounds=2, rate=0.3)
+    tables, pairs, scores = slow_fit(x.tolist(), y.tolist(), 5, 3, 2, 2, 0.3)
+    assert model.pairs == pairs and all(np.allclose(a, b) for a, b in zip(model.tables, tables, strict=True))
+    assert np.allclose(model.score(x), scores)
+
+
+def test_features_are_shares_of_the_text():
+    text = b"The THE the x1! ### end.\nThe THE the x1! ### end.\n\nA b"
+    f = dict(zip(Q.FEATURES, Q.features(text), strict=True))
+    words = text.split()
+    assert f["log_bytes"] == pytest.approx(np.log1p(len(text))) and f["log_words"] == pytest.approx(np.log1p(len(words)))
+    assert f["upper"] == sum(c in b"TAHE" for c in text) / len(text) and f["digits"] == 2 / len(text)
+    assert f["distinct"] == len(set(words)) / len(words) and f["repeated_lines"] == pytest.approx(1 / 3)
+    assert f["capitals"] == 2 / len(words) and f["feeds"] == 3 / len(text) and f["lone_signs"] == 0
+
+
+def test_training_takes_one_text_an_id(spark):
+    rows = [(1, f"text number {i} of one id") for i in range(300)] + [(2, "good words here"), (3, "### $$$ !!!")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 4)] * 50, "doc_id long, quality int")
+    models = [Q.train(d, labels, sample=3) for d in (docs, docs.orderBy(F.desc("text")).repartition(5))]
+    usable = [i for i in (1, 2, 3) if zlib.crc32(str(i).encode()) % 5]
+    assert models[0].intercept == models[1].intercept == pytest.approx(np.log(np.mean([i % 2 for i in usable]) / (1 - np.mean([i % 2 for i in usable]))))
+    assert all((a == b).all() for a, b in zip(models[0].tables, models[1].tables, strict=True))
+
+
 def test_quality_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, 1), (4, 0), (4, None), (6, 1), (None, 1), (7, 0)], "doc_id long, quality int")
     model = Q.train(odd, labels)
@@ -97,8 +192,9 @@ def test_parts_become_placeholders():
         (0, "image", "a.png", 256), (1, "audio", "b.wav", 100), (2, "document", "c.pdf", 1536),
     ]
     assert tokens == 1892 and segment[a:b].startswith("see") and segment[a:b].endswith("9>")
-    with pytest.raises(ValueError):
-        chat.format_turn("user", [{"type": "video"}])
+    segment, *_, attachments, tokens = chat.format_turn("user", [{"type": "video", "ref": "v"}, {"type": "text", "text": "<other:0>"}])
+    assert segment == "<s>user\n<other:0><\\other:0></s>\n" and attachments == [{"number": 0, "type": "video", "ref": "v", "tokens": 0}]
+    assert tokens == 0
 
 
 def test_conversation_reads_back():
@@ -123,6 +219,15 @@ def test_chat_query(spark):
     assert got == {c: slow_digest(t) for c, t in want.items()}
 
 
+def test_turns_of_one_number_go_by_role_and_text(spark):
+    texts = ["ab", "ab!", "</s>", "<a", "<\\/s>", "", "\\", "x\ny"]
+    rows = [(1, 3, role, t) for role in ("b\\n", "b\nc", "b", None) for t in texts]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "conv_id long, turn long, role string, text string").repartition(3)
+        got = chat.digest_conversations(chat.format_turns(df)).first()
+        assert tuple(got[1:5]) == slow_digest([r[1:] for r in rows])
+
+
 def test_chat_odd_rows(spark):
     rows = [(1, 2, "assistant", None), (1, 2, "assistant", None), (1, None, None, "x"), (None, 0, "user", "y" * 50_000), (2, 0, "assistant", "é😀")]
     df = spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, segment string")
@@ -190,7 +295,7 @@ def test_neighbours_of_odd_vectors(spark):
     got = {}
     for r in ann.nearest_neighbours(df, F.col("id") % 10 == 0, k=5, row_block=7, query_block=2).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append(r["vec_id"])
-    assert set(got) == {0, 10, 100, 110, 120}
+    assert set(got) == {0, 10, 100, 110, 120}  # 50 holds nothing
     assert got[110] == [100, 101, 102, 103, 104] and got[100] == [101, 102, 103, 104, 105]
     few = df.filter("vec_id < 5")
     want = exact([r[0] for r in rows[:5]], np.array([r[1] for r in rows[:5]]), [0], 5)
@@ -199,6 +304,30 @@ def test_neighbours_of_odd_vectors(spark):
     assert ann.nearest_neighbours(df.filter("vec_id between 50 and 56"), F.col("id") == 0).count() == 0
 
 
+def test_every_length_is_searched_by_itself(spark):
+    rng = np.random.default_rng(8)
+    two, three = rng.normal(size=(50, 2)), rng.normal(size=(4, 3))
+    rows = [(i, v.tolist()) for i, v in enumerate(two)] + [(100 + i, v.tolist()) for i, v in enumerate(three)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest_neighbours(df, F.col("id") % 50 == 0, k=5).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got == {
+        0: [v for v, _ in exact(list(range(50)), two, [0], 5)[0]], 100: [v for v, _ in exact([100, 101, 102, 103], three, [0], 5)[100]],
+    }
+
+
+def test_rows_of_one_id(spark):
+    """Equal rows are one; rows that differ in the vector only are candidates and queries of their own."""
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.9, 0.1]), (3, [0.1, 0.9])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r)[1:] for r in ann.nearest_neighbours(df, F.col("id") == 1, k=3).collect()]
+    assert sorted(got) == [(1, 2, 0.9), (1, 3, 0.9), (2, 2, 0.1), (2, 3, 0.1), (3, 1, 0.0), (3, 1, 0.0)]
+    many = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(30)] * 2 + [(50, [0.5, 0.5])], "vec_id long, embedding array<double>")
+    found = ann.nearest_neighbours(many, F.col("id") == 0, k=20).orderBy("rank").collect()
+    assert [r["vec_id"] for r in found] == list(range(1, 21))
+
+
 def test_neighbours_with_other_norms(spark):
     rng = np.random.default_rng(9)
     x = rng.normal(size=(600, 16)) * rng.uniform(0.5, 3, size=(600, 1))

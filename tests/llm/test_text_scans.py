@@ -32,9 +32,16 @@ def slow_licenses(text, templates=L.TEMPLATES, phrases=L.PHRASES):
     )
     met = {}
     text = text or ""
-    for block in [*text.split("\n"), *re.split(r"\n[ \t\r]*\n", text)]:
-        own = set(words(block))
+    paragraphs = re.split(r"\n[ \t\r]*\n", text)
+    blocks = [(b, 1) for b in [*text.split("\n"), *paragraphs]]
+    for n in {t.paragraphs for t in templates} - {1}:
+        blocks += [("\n".join(paragraphs[i : i + n]), n) for i in range(len(paragraphs) - n + 1)]
+    for block, long in blocks:
+        line = words(block)
+        own = set(line)
         for n, t in enumerate(templates):
+            if long > 1 and t.paragraphs != long or t.in_order and f" {' '.join(words(t.text))} " not in f" {' '.join(line)} ":
+                continue
             want = {x.decode() for x in t.words}
             c = len(own & want) / len(want)
             if c >= t.containment - 1e-9:
@@ -90,6 +97,21 @@ def test_license_of_a_wrapped_notice(spark):
     assert (rows[3]["n_words"], rows[3]["places"], rows[3]["score"]) == (0, [], 0.0)
 
 
+def test_whole_licenses_and_their_order(spark):
+    from papyra.llm.license_texts import TEXTS
+
+    texts = [f"Header.\n\n{text}\n\nint main;" for _, text in TEXTS]
+    texts += ["the License licensed under MIT, the"]  # the words of a notice in another order are none
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table = spark.createDataFrame([(label, text, 0.9) for label, text in TEXTS] + [("none", None, 0.5)], "label string, text string, containment double")
+    whole = L.scan_licenses(df, templates=L.templates_of(table)).collect()
+    for r in whole:
+        want = [TEXTS[r["doc_id"]][0]] if r["doc_id"] < len(TEXTS) else []
+        assert [t["label"] for t in r["templates"]] == want
+    last = [r for r in L.scan_licenses(df).collect() if r["doc_id"] == len(TEXTS)]
+    assert not last[0]["templates"]
+
+
 def test_license_odd_rows(odd, none):
     assert len(L.scan_licenses(odd).collect()) == odd.count()
     assert L.scan_licenses(none).count() == 0
@@ -115,13 +137,24 @@ def test_url_parts_and_rules():
 
 def test_url_terms_need_boundaries():
     judge = U.UrlJudge()
-    assert judge.hits("http://ads-track.x/adsl/porno") == (set(), {"ads", "track"})
+    assert judge.hits("http://ads-track.x/adsl/porno") == {"ads": 0.5, "track": 0.5}
     assert judge.judge("http://a.ads-track.b/")[3] == "block"
     assert judge.judge("http://a.b/ads/ads/ads")[3] == "allow"  # one distinct soft term
     assert judge.judge("http://a.b/XXX")[3] == "block"
     assert judge.judge("http://a.b/xxxl")[3] == "allow"
 
 
+def test_weighted_vocabulary_from_a_table(spark):
+    terms = spark.createDataFrame([("Bad", 1.0), ("so", 0.4), ("so", 0.2), ("la", 0.3), ("ti", 0.3), ("x", 0.0), (None, 1.0)], "term string, weight double")
+    pages = spark.createDataFrame([(1, "http://a/bad"), (2, "http://so/la"), (3, "http://so/la?ti#ti"), (4, "y" * 300_000 + " bad"), (5, "http://x/")], "page_id long, url string")
+    got = {r["page_id"]: (r["verdict"], r["strict"], r["soft"]) for r in U.filter_urls(pages, terms).collect()}
+    assert got == {
+        1: ("block", ["bad"], []), 2: ("allow", [], ["la", "so"]), 3: ("block", [], ["la", "so", "ti"]), 4: ("block", ["bad"], []),
+        5: ("allow", [], []),
+    }
+    assert U.filter_urls(pages, terms.limit(0)).filter("verdict = 'block'").count() == 0
+
+
 def test_url_query(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     rows = op7_url_filter(spark, SF).collect()
@@ -150,11 +183,9 @@ def slow_secrets(text):
                 base.append((m.start(), k, m.end()))
     extra = []
     for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}={0,2}", text):
-        c = m[0]
-        if not re.match(r"(?s)(?=.*[0-9].*[0-9])(?=.*[A-Za-z].*[A-Za-z])", c) or re.search(X.ALLOWED, c):
-            continue
-        need = next(bits for _, p, bits in X.CLASSES if re.search(p, c))
-        if peak(c) >= need - 1e-9 and not any(a <= m.start() and m.end() <= e for a, _, e in base):
+        judged = [p for p in re.split(X.ALLOWED, m[0]) if p and len(p) >= 20]
+        bits = [(p, next(b for _, kind, b in X.CLASSES if re.search(kind, p))) for p in judged]
+        if any(peak(p) >= b - 1e-9 for p, b in bits) and not any(a <= m.start() and m.end() <= e for a, _, e in base):
             extra.append((m.start(), 3, m.end()))
     return sorted(base), sorted(base + extra)
 
@@ -189,6 +220,20 @@ def test_secrets_like_brute_force(spark, odd):
     assert X.find_secrets(odd.limit(0)).count() == 0
 
 
+def test_many_matches_in_one_text(spark):
+    """Positions far beyond one block, in code points, with kinds that overlap, and the same text redacted."""
+    text = "é ".join(f"token=abc{i:05d}{'f' * (i % 30)} x AKIA{'Q1W2E3' * (3 + i % 3)}" for i in range(700))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    base, spans = slow_secrets(text)
+    got = X.find_secrets(df).select(X.written(F.col("base")), X.written(F.col("spans"))).first()
+    assert tuple(got) == (written(base), written(spans)) and len(spans) > 1400
+    at, out = 0, ""
+    for a, _, e in spans:
+        out += text[at:a] + "[SECRET]" if a >= at else ""
+        at = max(at, e)
+    assert X.redact(df).first()["text"] == out + text[at:]
+
+
 def test_window_entropy_by_counts(spark):
     for c in ["a" * 25, "4d44c79e8bf7c55759c4958dd60ed83d2ef8cd4e", "ab" * 15, "short", "A1b2C3d4E5f6G7h8I9j0KlMnOp=="]:
         got = spark.range(1).select(X.window_entropy(F.lit(c))).first()[0]
@@ -251,24 +296,24 @@ def case(spark):
     return docs, docs_df, [i for i in items if i[0] is not None], spark.createDataFrame(items, "item_id long, text string")
 
 
-@pytest.mark.parametrize("held", [D.MAX_HELD_BYTES, 0])
+@pytest.mark.parametrize("held", [D.MAX_WINDOWS, 0])
 def test_contamination_both_ways(case, held):
     docs, docs_df, items, items_df = case
-    rows = D.find_contamination(docs_df, items_df, max_held_bytes=held).collect()
+    rows = D.find_contamination(docs_df, items_df, max_windows=held).collect()
     got = sorted((r["doc_id"], r["n_words"], sum(s["end"] - s["start"] for s in r["spans"]), list(r["items"])) for r in rows)
     assert got == sorted((i, *slow_hits(t, items)) for i, t in docs)
-    assert D.find_contamination(docs_df.limit(0), items_df, max_held_bytes=held).count() == 0
-    clean = D.find_contamination(docs_df, items_df.limit(0), max_held_bytes=held - 1).collect()
+    assert D.find_contamination(docs_df.limit(0), items_df, max_windows=held).count() == 0
+    clean = D.find_contamination(docs_df, items_df.limit(0), max_windows=held - 1).collect()
     assert len(clean) == len(docs) and not any(r["spans"] or r["items"] for r in clean)
 
 
-@pytest.mark.parametrize("held", [D.MAX_HELD_BYTES, 0])
+@pytest.mark.parametrize("held", [D.MAX_WINDOWS, 0])
 def test_drop_and_cut(case, held):
     docs, docs_df, items, items_df = case
-    kept = D.keep_clean(docs_df, items_df, max_held_bytes=held)
+    kept = D.keep_clean(docs_df, items_df, max_windows=held)
     assert kept.columns == docs_df.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, t in docs if not slow_hits(t, items)[1])
-    cut = {r["doc_id"]: r["text"] for r in D.cut_out(docs_df, items_df, max_held_bytes=held).collect()}
+    cut = {r["doc_id"]: r["text"] for r in D.cut_out(docs_df, items_df, max_windows=held).collect()}
     assert cut[1] == "Start. ! End." and cut[3] is None and cut[7] == "no id for this item"
 
 
