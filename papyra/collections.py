@@ -22,8 +22,11 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.withColumn("turns", F.array_sort("turns"))
 
 
-def customers(spark: SparkSession, sf_dir: str, urgent: bool = True) -> DataFrame:
-    """One document a customer with its orders in order of their keys; without any, ``orders`` is missing."""
+def customers(spark: SparkSession, sf_dir: str, urgent: bool = False) -> DataFrame:
+    """One document a customer with its orders in order of their keys; without any, ``orders`` is missing.
+
+    ``urgent``: only orders of the highest priority, for queries on missing arrays: of all orders hardly a customer has none.
+    """
     orders = load(spark, sf_dir, "orders")
     if urgent:
         orders = orders.filter(F.col("o_orderpriority").startswith("1-"))

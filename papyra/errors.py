@@ -34,6 +34,7 @@ MESSAGES = {
     20005: "a unique index is not built in the background",
     20010: "the _id of a document cannot change",
     26840: "an update operator needs fields",
+    29966: "an error was asked for",
     29967: "an index needs a name",
     29969: "text indexes are not supported",
     29976: "the source collection does not exist",
@@ -42,6 +43,7 @@ MESSAGES = {
     29982: "an index over _id has no other field",
     29985: "timestamps of this kind are not supported",
     29990: "index directions do not mix",
+    29992: "a document has more than 1000 entries in a compound index",
     29991: "an index direction is 1 or -1",
     29993: "another index has this name",
     29997: "unknown operator",

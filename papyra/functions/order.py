@@ -16,17 +16,24 @@ def type_code(dtype: T.DataType) -> int:
     return next((code for kinds, code in CODES if isinstance(dtype, kinds)), 20)
 
 
+def _holds_map(dtype: T.DataType) -> bool:
+    if isinstance(dtype, T.ArrayType):
+        return _holds_map(dtype.elementType)
+    return isinstance(dtype, T.MapType) or isinstance(dtype, T.StructType) and any(_holds_map(f.dataType) for f in dtype)
+
+
 def sort_keys(col: Column, dtype: T.DataType, direction: int) -> list[Column]:
     """Order-by expressions of one field; nulls and missing values are the smallest.
 
-    An array is sorted by its smallest element (ascending) or its largest (descending).
+    An array is sorted by its smallest element (ascending) or its largest (descending); objects are
+    compared field by field.
     """
     if isinstance(dtype, T.ArrayType):
         element = dtype.elementType
-        if isinstance(element, T.StructType | T.MapType | T.ArrayType):
+        if _holds_map(element):  # maps have no order of their own
             return sort_keys(F.to_json(col), T.StringType(), direction)
         return sort_keys(F.array_min(col) if direction > 0 else F.array_max(col), element, direction)
-    if isinstance(dtype, T.MapType):
+    if _holds_map(dtype):
         return sort_keys(F.to_json(col), T.StringType(), direction)
     return [col.asc_nulls_first() if direction > 0 else col.desc_nulls_last()]
 

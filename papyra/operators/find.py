@@ -37,11 +37,24 @@ def sort_by(df: DataFrame, sort: Mapping[str, int] | Sequence[tuple[str, int]],
     return df.orderBy(*keys) if keys else df
 
 
+def unwrap(query: Mapping | None) -> tuple[Mapping | None, Mapping | None]:
+    """Filter and sort of a wrapped query (``$query``/``query`` with ``$orderby``/``orderby``); hints and ``$explain`` are left out."""
+    marks = ("$query", "$orderby", "$explain", "$hint")
+    if not query or not (any(m in query for m in marks) or "query" in query and "orderby" in query):
+        return query, None
+    inner = query.get("$query", query.get("query"))
+    if inner is None:
+        inner = {k: v for k, v in query.items() if k not in (*marks, "orderby")}
+    return inner, query.get("$orderby", query.get("orderby"))
+
+
 def find(
     df: DataFrame, query: Mapping | None = None, projection: Mapping | None = None, sort=None, skip: int = 0,
     limit: int = 0, id_field: str = "_id", variant: str | None = None,
 ) -> DataFrame:
     """Filter, sort, skip, limit (0: none; a negative limit counts as its absolute value), project."""
+    query, order = unwrap(query)
+    sort = sort or order
     found = match(df, query, variant)
     if sort:
         found = sort_by(found, sort, variant)

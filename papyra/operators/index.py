@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,11 +15,16 @@ from papyra.functions.paths import values_of
 from papyra.plans.ast import And, Any, Eq, In, Node, Or, Range
 
 
+#: Most entries of one document in an index of several fields.
+MAX_ENTRIES = 1000
+
+
 @dataclass(frozen=True)
 class Index:
     name: str
     fields: tuple[tuple[str, int], ...]
     unique: bool = False
+    status: str = "ready"
 
     @staticmethod
     def of(spec: Mapping, id_field: str = "_id") -> Index | None:
@@ -42,13 +48,14 @@ class Index:
         return Index(spec["name"], tuple(key.items()), bool(spec.get("unique")))
 
     def document(self) -> dict:
-        return {"name": self.name, "key": dict(self.fields), "unique": self.unique}
+        return {"name": self.name, "key": dict(self.fields), "unique": self.unique, "status": self.status}
 
 
 def entries(df: DataFrame, index: Index, id_field: str = "_id") -> DataFrame:
     """One row ``k0, k1, ..., id`` for each distinct combination of the values of a document.
 
-    A document without a value at a path has a null entry there.
+    A document without a value at a path has a null entry there. More than ``MAX_ENTRIES`` of one document
+    in an index of several fields are an error (29992).
     """
     out = df
     for n, (path, _) in enumerate(index.fields):
@@ -59,6 +66,10 @@ def entries(df: DataFrame, index: Index, id_field: str = "_id") -> DataFrame:
         values, kind = found or (F.array().cast("array<string>"), T.StringType())
         nothing = F.array(F.lit(None).cast(kind))
         out = out.withColumn(f"__k{n}", F.when(F.size(values) > 0, F.array_distinct(values)).otherwise(nothing))
+    if len(index.fields) > 1:
+        product = reduce(Column.__mul__, [F.size(f"__k{n}").cast("double") for n in range(len(index.fields))])
+        first = F.when(product > MAX_ENTRIES, F.raise_error(F.lit("29992"))).otherwise(F.col("__k0"))
+        out = out.withColumn("__k0", first)
     for n in range(len(index.fields)):
         out = out.withColumn(f"__k{n}", F.explode(f"__k{n}"))
     return out.select(*[F.col(f"__k{n}").alias(f"k{n}") for n in range(len(index.fields))], F.col(id_field).alias("id"))
@@ -82,7 +93,7 @@ def usable(node: Node, indexes: list[Index], id_field: str = "_id") -> dict:
     bounded = {t.path for t in terms if isinstance(t, Any) and isinstance(t.term, Eq | Range | In | And)}
     if id_field in bounded:
         return {"type": "primary key lookup"}
-    for index in sorted(indexes, key=lambda i: (len(i.fields), i.name)):
+    for index in sorted((i for i in indexes if i.status == "ready"), key=lambda i: (len(i.fields), i.name)):
         prefix = []
         for path, _ in index.fields:
             if path not in bounded:

@@ -146,10 +146,33 @@ def _number_result(col: Column | None, dtype: T.DataType, operand, code: int) ->
     return kind, F.lit(operand).cast(kind)
 
 
+def _int32(x: Column) -> Column:
+    """The low 32 bits of a long, with their sign."""
+    return F.shiftright(F.shiftleft(x, 32), 32).cast("int")
+
+
+def _int64(x: Column) -> Column:
+    """A whole decimal number modulo 2^64, with its sign."""
+    half, whole = F.lit(str(2**63)).cast("decimal(20,0)"), F.lit(str(2**64)).cast("decimal(20,0)")
+    return (F.pmod(x + half, whole) - half).cast("long")
+
+
+def _wrapped(a: Column, b: Column, kind: T.DataType, op: str) -> Column:
+    """``a + b`` or ``a * b``; integers beyond the ends of their type start again at the other end, as in two's complement."""
+    apply = (lambda x, y: x + y) if op == "+" else (lambda x, y: x * y)
+    if isinstance(kind, T.LongType):
+        exact = F.try_add(a, b) if op == "+" else F.try_multiply(a, b)
+        wide = [x.cast("decimal(19,0)") for x in (a, b)]
+        return F.when(a.isNotNull(), F.coalesce(exact, _int64(apply(*wide))))
+    if isinstance(kind, INTEGERS):
+        return _int32(apply(a.cast("long"), b.cast("long"))).cast(kind)
+    return apply(a, b)
+
+
 def _inc(operand) -> Leaf:
     def leaf(col, dtype):
         kind, by = _number_result(col, dtype, operand, 10140)
-        return (by if col is None else F.coalesce(col.cast(kind), F.lit(0).cast(kind)) + by), kind
+        return (by if col is None else _wrapped(F.coalesce(col.cast(kind), F.lit(0).cast(kind)), by, kind, "+")), kind
 
     return leaf
 
@@ -157,7 +180,7 @@ def _inc(operand) -> Leaf:
 def _mul(operand) -> Leaf:
     def leaf(col, dtype):
         kind, by = _number_result(col, dtype, operand, 16837)
-        return (F.lit(0).cast(kind) if col is None else F.coalesce(col.cast(kind) * by, F.lit(0).cast(kind))), kind
+        return (F.lit(0).cast(kind) if col is None else F.coalesce(_wrapped(col.cast(kind), by, kind, "*"), F.lit(0).cast(kind))), kind
 
     return leaf
 
@@ -174,10 +197,10 @@ def _bit(operand) -> Leaf:
     def leaf(col, dtype):
         if col is not None and not isinstance(dtype, (*INTEGERS, T.NullType)):
             raise DocumentError(10138)
-        old = F.lit(0) if col is None else F.coalesce(col.cast("int"), F.lit(0))
+        old = F.lit(0) if col is None else F.coalesce(_int32(col.cast("long")), F.lit(0))  # the low 32 bits of a long
         apply = {"and": Column.bitwiseAND, "or": Column.bitwiseOR, "xor": Column.bitwiseXOR}[op]
         kind = dtype if col is not None and isinstance(dtype, INTEGERS) else T.IntegerType()
-        return apply(old, F.lit(value).cast("int")).cast(kind), kind
+        return apply(old, F.lit((value + 2**31) % 2**32 - 2**31)).cast(kind), kind
 
     return leaf
 

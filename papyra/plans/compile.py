@@ -93,7 +93,7 @@ def literal(value, dtype: T.DataType) -> Column | None:
         if isinstance(value, datetime.datetime):
             kind = "timestamp_ntz" if isinstance(dtype, T.TimestampNTZType) else "timestamp"
             return F.lit(value.isoformat(" ")).cast(kind)
-        return F.lit(value) if isinstance(value, datetime.date) else None
+        return F.lit(value).cast(dtype) if isinstance(value, datetime.date) else None
     if isinstance(dtype, T.ArrayType):
         if not isinstance(value, list | tuple):
             return None
@@ -255,11 +255,21 @@ def _array(v: Column) -> Column:
     return F.when(_kind(v).startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>"))
 
 
-def _number(v: Column) -> Column:
+def _whole(v: Column) -> Column:
+    return F.when(_kind(v) == "BIGINT", F.try_variant_get(v, "$", "bigint"))
+
+
+def _fraction(v: Column) -> Column:
     kind = _kind(v)
-    return F.when(
-        kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), F.try_variant_get(v, "$", "double")
-    )
+    return F.when(kind.isin("DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), F.try_variant_get(v, "$", "double"))
+
+
+def _time(v: Column) -> Column:
+    return F.when(_kind(v).startswith("TIMESTAMP") | (_kind(v) == "DATE"), F.try_variant_get(v, "$", "timestamp"))
+
+
+def _binary(v: Column) -> Column:
+    return F.when(_kind(v) == "BINARY", F.try_variant_get(v, "$", "binary"))
 
 
 def _variant_equal(v: Column, value) -> bool | Cond:
@@ -267,11 +277,12 @@ def _variant_equal(v: Column, value) -> bool | Cond:
         return Cond.of(F.coalesce(_kind(v) == "VOID", F.lit(True)))
     if isinstance(value, bool):
         return Cond.of((_kind(v) == "BOOLEAN") & (F.try_variant_get(v, "$", "boolean") == F.lit(value)))
-    if isinstance(value, int) and abs(value) < 2**63:
-        exact = F.when(_kind(v) == "BIGINT", F.try_variant_get(v, "$", "bigint") == F.lit(value))
-        return Cond.of(F.coalesce(exact, _number(v) == F.lit(float(value))))
-    if isinstance(value, int | float):
-        return Cond.of(_number(v) == F.lit(float(value)))
+    if isinstance(value, int | float):  # integers are compared exactly, also beyond what a double tells apart
+        return either([_equal(_whole(v), T.LongType(), value), _equal(_fraction(v), T.DoubleType(), value)])
+    if isinstance(value, datetime.date):
+        return _equal(_time(v), T.TimestampType(), value)
+    if isinstance(value, bytes | bytearray):
+        return _equal(_binary(v), T.BinaryType(), value)
     if isinstance(value, str):
         return Cond.of((_kind(v) == "STRING") & (F.try_variant_get(v, "$", "string") == F.lit(value)))
     if isinstance(value, Mapping | list | tuple):
@@ -284,7 +295,7 @@ def _variant_equal(v: Column, value) -> bool | Cond:
     return FALSE
 
 
-_VARIANT_CODES = {1: ("DOUBLE", "FLOAT", "DECIMAL"), 2: ("STRING",), 3: ("OBJECT",), 4: ("ARRAY",), 8: ("BOOLEAN",), 9: ("TIMESTAMP", "DATE"), 10: ("VOID",), 16: ("BIGINT",), 18: ("BIGINT",)}
+_VARIANT_CODES = {1: ("DOUBLE", "FLOAT", "DECIMAL"), 2: ("STRING",), 3: ("OBJECT",), 4: ("ARRAY",), 8: ("BOOLEAN",), 9: ("TIMESTAMP", "DATE"), 5: ("BINARY",), 10: ("VOID",)}
 
 
 def test_variant(node: Node, v: Column) -> bool | Cond:
@@ -303,9 +314,18 @@ def test_variant(node: Node, v: Column) -> bool | Cond:
             col, kind = F.when(_kind(v) == "STRING", F.try_variant_get(v, "$", "string")), T.StringType()
         elif all(isinstance(e, bool) for e in ends):
             col, kind = F.when(_kind(v) == "BOOLEAN", F.try_variant_get(v, "$", "boolean")), T.BooleanType()
+        elif all(isinstance(e, datetime.date) for e in ends):
+            col, kind = _time(v), T.TimestampType()
+        elif all(isinstance(e, bytes | bytearray) for e in ends):
+            col, kind = _binary(v), T.BinaryType()
+        elif all(isinstance(e, int | float) and not isinstance(e, bool) for e in ends):
+            return either([_within(_whole(v), T.LongType(), node), _within(_fraction(v), T.DoubleType(), node)])
         else:
-            col, kind = _number(v), T.DoubleType()
+            return FALSE
         return _within(col, kind, node)
+    if isinstance(node, TypeIs) and node.code in (16, 18):  # whole numbers have no width here: 16 if 32 bits hold them
+        narrow = _whole(v).between(F.lit(-(2**31)), F.lit(2**31 - 1))
+        return Cond.of(narrow if node.code == 16 else ~narrow)
     if isinstance(node, TypeIs):
         starts = [Cond.of(_kind(v).startswith(s)) for s in _VARIANT_CODES.get(node.code, ())]
         return either(starts)

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import datetime
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyra import collections as C
-from papyra.operators.find import count, distinct, find, match, matching
+from papyra.operators.find import Cursor, count, distinct, find, match, matching
 from papyra.operators.index import Index, entries, violations
-from papyra.operators.update import apply_update, new_fields, seed
+from papyra.operators.update import apply_update
+from papyra.session import checkpoint_dir, remove_at_exit
+from papyra.sources.store import Collection, Database
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -134,8 +138,9 @@ _d2(
 )
 
 
-def _d3(name: str, query: dict, where: str) -> None:
-    add(name, _on(C.customers, query, {"c_custkey": 1}), f"WITH {C.D3_URGENT} SELECT c_custkey FROM cust WHERE {where}")
+def _d3(name: str, query: dict, where: str, urgent: bool = False) -> None:
+    cust = C.D3_URGENT if urgent else C.D3_ALL
+    add(name, _on(lambda s, d: C.customers(s, d, urgent), query, {"c_custkey": 1}), f"WITH {cust} SELECT c_custkey FROM cust WHERE {where}")
 
 
 def _some(test: str) -> str:
@@ -145,9 +150,9 @@ def _some(test: str) -> str:
 _d3("array_elem_eq", {"orders.o_orderstatus": "F"}, _some("x.o_orderstatus = 'F'"))
 _d3("array_ne", {"orders.o_orderstatus": {"$ne": "F"}}, f"NOT {_some("x.o_orderstatus = 'F'")}")
 _d3("array_nin", {"orders.o_orderstatus": {"$nin": ["F", "P"]}}, f"NOT {_some("x.o_orderstatus IN ('F', 'P')")}")
-_d3("array_missing", {"orders": None}, "orders IS NULL")
+_d3("array_missing", {"orders": None}, "orders IS NULL", urgent=True)
 _d3("array_exists", {"orders.o_orderkey": {"$exists": True}}, "orders IS NOT NULL")
-_d3("array_null_below", {"orders.o_totalprice": None}, "orders IS NULL")
+_d3("array_null_below", {"orders.o_totalprice": None}, "orders IS NULL", urgent=True)
 _d3(
     "elem_match", {"orders": {"$elemMatch": {"o_totalprice": {"$gt": 100000, "$lt": 150000}, "o_orderstatus": "F"}}},
     _some("x.o_totalprice > 100000 AND x.o_totalprice < 150000 AND x.o_orderstatus = 'F'"),
@@ -164,9 +169,9 @@ _d3("not_elem_match", {"orders": {"$not": {"$elemMatch": {"o_orderstatus": "O"}}
 add(
     "elem_match_values",
     lambda s, d: match(
-        C.load(s, d, "embeddings").select("vec_id", F.slice("embedding", 1, 4).alias("e")), {"e": {"$elemMatch": {"$gt": 0.2, "$lt": 0.25}}}
+        C.load(s, d, "embeddings"), {"embedding": {"$elemMatch": {"$gt": 0.3, "$lt": 0.32}}}
     ).select("vec_id"),
-    "SELECT vec_id FROM embeddings WHERE len(list_filter(embedding[1:4], lambda x: x > 0.2 AND x < 0.25)) > 0",
+    "SELECT vec_id FROM embeddings WHERE len(list_filter(embedding, lambda x: x > 0.3 AND x < 0.32)) > 0",
 )
 
 # --- projection, sort, skip, limit ------------------------------------------------------------
@@ -208,7 +213,7 @@ add(
 )
 add(
     "sort_array", _on(C.customers, {"orders": {"$exists": True}}, {"c_custkey": 1}, sort={"orders.o_totalprice": -1, "c_custkey": 1}, limit=20),
-    f"WITH {C.D3_URGENT} SELECT c_custkey FROM cust WHERE orders IS NOT NULL"
+    f"WITH {C.D3_ALL} SELECT c_custkey FROM cust WHERE orders IS NOT NULL"
     " ORDER BY list_max(list_transform(orders, lambda x: x.o_totalprice)) DESC, c_custkey LIMIT 20",
 )
 add(
@@ -234,7 +239,7 @@ add(
 )
 add(
     "distinct_array", lambda s, d: distinct(C.customers(s, d), "orders.o_orderstatus"),
-    f"WITH {C.D3_URGENT} SELECT DISTINCT unnest(list_transform(orders, lambda x: x.o_orderstatus)) AS value FROM cust",
+    f"WITH {C.D3_ALL} SELECT DISTINCT unnest(list_transform(orders, lambda x: x.o_orderstatus)) AS value FROM cust",
 )
 add("distinct_missing", lambda s, d: distinct(C.docs(s, d), "quality"), f"WITH {C.D1} SELECT DISTINCT quality AS value FROM docs WHERE quality IS NOT NULL")
 
@@ -328,7 +333,7 @@ add(
         C.customers, {}, {"$push": {"orders": {"$each": [{"o_orderkey": 0, "o_totalprice": 123456.5}], "$sort": {"o_totalprice": -1, "o_orderkey": 1}, "$slice": 3}}},
         "c_custkey", "concat_ws(',', transform(orders, x -> CAST(x.o_orderkey AS STRING))) AS keys",
     ),
-    f"WITH {C.D3_URGENT}, u AS (SELECT c_custkey, unnest(list_append(list_transform(coalesce(orders, []), lambda x: "
+    f"WITH {C.D3_ALL}, u AS (SELECT c_custkey, unnest(list_append(list_transform(coalesce(orders, []), lambda x: "
     "{'k': x.o_orderkey, 'p': x.o_totalprice}), {'k': 0, 'p': 123456.5})) AS o FROM cust),"
     " r AS (SELECT c_custkey, o.k AS k, row_number() OVER (PARTITION BY c_custkey ORDER BY o.p DESC, o.k) AS n FROM u)"
     " SELECT c_custkey, string_agg(CAST(k AS VARCHAR), ',' ORDER BY n) AS keys FROM r WHERE n <= 3 GROUP BY c_custkey",
@@ -337,101 +342,276 @@ add(
 # --- replace, upsert, delete, insert, find and modify -----------------------------------------
 
 
-def _first(df: DataFrame, query: dict, id_field: str):
-    """The condition for the matching document with the smallest id."""
-    least = match(df, query).agg(F.min(id_field).alias("__least"))
-    return df.join(F.broadcast(least), F.lit(True), "left"), F.col(id_field).eqNullSafe(F.col("__least"))
+def scratch(s: SparkSession) -> Database:
+    """A database of its own below the checkpoint folder, removed when the session ends."""
+    root = f"{checkpoint_dir(s)}/scratch-{uuid.uuid4().hex}"
+    remove_at_exit(s, root)
+    return Database(s, root, "db")
 
 
-def _one(table: str, query: dict, id_field: str, change) -> Query:
+def stored(s: SparkSession, d: str, table: str, id_field: str) -> tuple[Database, Collection]:
+    """A table as a collection of that name, its id field as ``_id``."""
+    db = scratch(s)
+    db[table].insert(C.load(s, d, table).withColumnRenamed(id_field, "_id"))
+    return db, db[table]
+
+
+def _write(name: str, table: str, id_field: str, statement: Callable[[Collection], object], sql: str, *columns: str) -> None:
+    """A statement on a stored table; the query gives the collection as it is afterwards."""
+
     def run(s: SparkSession, d: str) -> DataFrame:
-        df, hit = _first(C.load(s, d, table), query, id_field)
-        return change(df, hit)
+        _, held = stored(s, d, table, id_field)
+        statement(held)
+        found = held.find()
+        return found.selectExpr(*(columns or [c for c in found.columns])).withColumnRenamed("_id", id_field)
 
-    return run
+    add(name, run, sql)
 
 
 _NATION = "n_nationkey, n_name, n_regionkey"
-add(
-    "upd_replace",
-    _one("region", {"r_regionkey": {"$gte": 2}}, "r_regionkey", lambda df, hit: apply_update(df, hit, {"note": "new"}, "r_regionkey").select("r_regionkey", "r_name", "note")),
+_IN_NATION = ("_id", "n_name", "n_regionkey")
+_IN_REGION = ("_id", "r_name")
+_write(
+    "upd_replace", "region", "r_regionkey", lambda c: c.update({"_id": {"$gte": 2}}, {"note": "new"}),
     "SELECT r_regionkey, CASE WHEN r_regionkey <> 2 THEN r_name END AS r_name, CASE WHEN r_regionkey = 2 THEN 'new' END AS note FROM region",
-)
-add(
-    "update_one",
-    _one("nation", {"n_regionkey": 2}, "n_nationkey", lambda df, hit: apply_update(df, hit, {"$set": {"n_name": "X"}}, "n_nationkey").drop("__least")),
-    f"SELECT n_nationkey, CASE WHEN n_nationkey = (SELECT min(n_nationkey) FROM nation WHERE n_regionkey = 2) THEN 'X' ELSE n_name END AS n_name, n_regionkey FROM nation",
-)
-add("delete_many", lambda s, d: C.load(s, d, "nation").filter(matching(C.load(s, d, "nation"), {"n_regionkey": {"$in": [1, 2]}}).neg), f"SELECT {_NATION} FROM nation WHERE n_regionkey NOT IN (1, 2)")
-add(
-    "delete_one", _one("nation", {"n_regionkey": 3}, "n_nationkey", lambda df, hit: df.filter(~hit).drop("__least")),
-    f"SELECT {_NATION} FROM nation WHERE n_nationkey <> (SELECT min(n_nationkey) FROM nation WHERE n_regionkey = 3)",
 )
-add(
-    "find_and_modify_old", _one("nation", {"n_regionkey": 1}, "n_nationkey", lambda df, hit: df.filter(hit).drop("__least")),
-    f"SELECT {_NATION} FROM nation WHERE n_nationkey = (SELECT min(n_nationkey) FROM nation WHERE n_regionkey = 1)",
+_write(
+    "update_one", "nation", "n_nationkey", lambda c: c.update({"n_regionkey": 2}, {"$set": {"n_name": "X"}}),
+    "SELECT n_nationkey, CASE WHEN n_nationkey = (SELECT min(n_nationkey) FROM nation WHERE n_regionkey = 2) THEN 'X' ELSE n_name END AS n_name, n_regionkey FROM nation",
+    *_IN_NATION,
 )
-add(
-    "find_and_modify_new",
-    _one("nation", {"n_regionkey": 1}, "n_nationkey", lambda df, hit: apply_update(df.filter(hit), F.lit(True), {"$inc": {"n_regionkey": 10}}, "n_nationkey").drop("__least")),
-    "SELECT n_nationkey, n_name, n_regionkey + 10 AS n_regionkey FROM nation WHERE n_nationkey = (SELECT min(n_nationkey) FROM nation WHERE n_regionkey = 1)",
-)
-add(
-    "find_and_modify_remove", _one("nation", {"n_regionkey": 0}, "n_nationkey", lambda df, hit: df.filter(~hit).drop("__least")),
-    f"SELECT {_NATION} FROM nation WHERE n_nationkey <> (SELECT min(n_nationkey) FROM nation WHERE n_regionkey = 0)",
+_write(
+    "update_many", "nation", "n_nationkey", lambda c: c.update({"n_regionkey": {"$gte": 2}}, {"$inc": {"n_regionkey": 7}}, multi=True),
+    "SELECT n_nationkey, n_name, CASE WHEN n_regionkey >= 2 THEN n_regionkey + 7 ELSE n_regionkey END AS n_regionkey FROM nation", *_IN_NATION,
+)
+_write(
+    "delete_many", "nation", "n_nationkey", lambda c: c.delete({"n_regionkey": {"$in": [1, 2]}}),
+    f"SELECT {_NATION} FROM nation WHERE n_regionkey NOT IN (1, 2)", *_IN_NATION,
 )
+_write(
+    "delete_one", "nation", "n_nationkey", lambda c: c.delete({"n_regionkey": 3}, 1),
+    f"SELECT {_NATION} FROM nation WHERE n_nationkey <> (SELECT min(n_nationkey) FROM nation WHERE n_regionkey = 3)", *_IN_NATION,
+)
+
 
+def _modify(name: str, sql: str, **arguments) -> None:
+    """Find-and-modify on nations: the document that it gives, and the same one as it is stored afterwards."""
 
-def _upsert(query: dict, update: dict) -> Query:
     def run(s: SparkSession, d: str) -> DataFrame:
-        df = C.load(s, d, "region")
-        hit = F.coalesce(matching(df, query).pos, F.lit(False))
-        changed = apply_update(df, hit, update, "r_regionkey")
-        start = seed(query)
-        row = s.range(1).select(*[F.lit(v).alias(k) for k, v in start.items()])
-        new = new_fields(row, update, True, "_none")
-        row = row.select(*[F.col(c) for c in row.columns if c not in new], *[c.alias(n) for n, (c, _) in new.items()])
-        # The new document goes in only where nothing matches.
-        row = row.join(match(df, query).limit(1).select(F.lit(1).alias("__one")), F.lit(True), "left_anti")
-        return changed.unionByName(row, allowMissingColumns=True).select(F.col("r_regionkey").cast("int"), "r_name")
+        _, held = stored(s, d, "nation", "n_nationkey")
+        got = held.find_and_modify(**arguments)
+        given = s.createDataFrame([(got["_id"], got["n_regionkey"])], "n_nationkey int, given int")
+        after = held.find().select(F.col("_id").alias("n_nationkey"), F.col("n_regionkey").alias("stored"))
+        return given.join(after, "n_nationkey", "left").crossJoin(after.agg(F.count("*").alias("n")))
+
+    add(name, run, f"WITH x AS (SELECT n_nationkey, n_regionkey AS r FROM nation WHERE n_regionkey = 1 ORDER BY n_nationkey LIMIT 1) {sql}")
+
+
+_INC = {"$inc": {"n_regionkey": 10}}
+_modify("find_and_modify_old", "SELECT n_nationkey, r AS given, r + 10 AS stored, (SELECT count(*) FROM nation) AS n FROM x", query={"n_regionkey": 1}, update=_INC)
+_modify("find_and_modify_new", "SELECT n_nationkey, r + 10 AS given, r + 10 AS stored, (SELECT count(*) FROM nation) AS n FROM x", query={"n_regionkey": 1}, update=_INC, new=True)
+_modify("find_and_modify_remove", "SELECT n_nationkey, r AS given, CAST(NULL AS INT) AS stored, (SELECT count(*) - 1 FROM nation) AS n FROM x", query={"n_regionkey": 1}, remove=True)
+_write(
+    "find_and_modify_upsert", "region", "r_regionkey",
+    lambda c: c.find_and_modify({"_id": 50}, {"$set": {"r_name": "FIFTY"}}, upsert=True, new=True),
+    "SELECT r_regionkey, r_name FROM region UNION ALL SELECT 50, 'FIFTY'", *_IN_REGION,
+)
 
-    return run
 
+def _upsert(name: str, query: dict, update: dict, sql: str, *columns: str) -> None:
+    _write(name, "region", "r_regionkey", lambda c: c.update(query, update, upsert=True), sql, *(columns or _IN_REGION))
 
-add("upsert_match", _upsert({"r_regionkey": 3}, {"$set": {"r_name": "Z"}}), "SELECT r_regionkey, CASE WHEN r_regionkey = 3 THEN 'Z' ELSE r_name END AS r_name FROM region")
-add("upsert_insert", _upsert({"r_regionkey": 99}, {"$set": {"r_name": "NEW"}}), "SELECT r_regionkey, r_name FROM region UNION ALL SELECT 99, 'NEW'")
-add(
-    "upsert_seed_from_query", _upsert({"$and": [{"r_regionkey": {"$eq": 77}}, {"r_name": "FROM QUERY"}]}, {"$setOnInsert": {"note": "x"}}),
-    "SELECT r_regionkey, r_name FROM region UNION ALL SELECT 77, 'FROM QUERY'",
+
+_upsert("upsert_match", {"_id": 3}, {"$set": {"r_name": "Z"}}, "SELECT r_regionkey, CASE WHEN r_regionkey = 3 THEN 'Z' ELSE r_name END AS r_name FROM region")
+_upsert("upsert_insert", {"_id": 99}, {"$set": {"r_name": "NEW"}}, "SELECT r_regionkey, r_name FROM region UNION ALL SELECT 99, 'NEW'")
+_upsert(
+    "upsert_seed_from_query", {"$and": [{"_id": {"$eq": 77}}, {"r_name": "FROM QUERY"}]}, {"$setOnInsert": {"note": "x"}},
+    "SELECT r_regionkey, r_name, CAST(NULL AS VARCHAR) AS note FROM region UNION ALL SELECT 77, 'FROM QUERY', 'x'", *_IN_REGION, "note",
+)
+_upsert("upsert_id_from_set", {"r_name": "NOBODY"}, {"$set": {"_id": 41}}, "SELECT r_regionkey, r_name FROM region UNION ALL SELECT 41, 'NOBODY'")
+_upsert("upsert_replacement", {"_id": 42}, {"r_name": "WHOLE"}, "SELECT r_regionkey, r_name FROM region UNION ALL SELECT 42, 'WHOLE'")
+_write(
+    "insert_many", "region", "r_regionkey", lambda c: c.insert([{"_id": 100, "r_name": "A"}, {"_id": 101, "r_name": "B"}]),
+    "SELECT r_regionkey, r_name FROM region UNION ALL VALUES (100, 'A'), (101, 'B')", *_IN_REGION,
+)
+
+
+def _commands(name: str, table: str, id_field: str, steps: list[dict], sql: str, schema: str, rows: Callable[[Database, list[dict]], list]) -> None:
+    """Command documents on a stored table; ``rows`` makes the result of the database and the answers."""
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        db, _ = stored(s, d, table, id_field)
+        return s.createDataFrame(rows(db, [db.command(c) for c in steps]), schema)
+
+    add(name, run, sql)
+
+
+def _region_command(name: str, steps: list[dict], sql: str, schema: str, rows) -> None:
+    _commands(name, "region", "r_regionkey", steps, sql, schema, rows)
+
+
+_REGIONS = "(SELECT count(*) FROM region)"
+_region_command(
+    "insert_duplicate_check",
+    [{"insert": "region", "documents": [{"_id": 200}, {"_id": 1}]}, {"insert": "region", "documents": [{"_id": 201}, {"_id": 201}]}],
+    f"SELECT 11000 AS stored, 11000 AS within, {_REGIONS} AS n", "stored int, within int, n long",
+    lambda db, a: [(a[0]["code"], a[1]["code"], db["region"].count())],
+)
+_region_command(
+    "cmd_insert", [{"insert": "region", "documents": [{"_id": 200, "r_name": "A"}, {"_id": 201}]}],
+    f"SELECT CAST(2 AS BIGINT) AS n, {_REGIONS} + 2 AS held", "n long, held long", lambda db, a: [(a[0]["n"], db["region"].count())],
+)
+_region_command(
+    "cmd_update",
+    [{"update": "region", "updates": [
+        {"q": {"_id": {"$lt": 3}}, "u": {"$set": {"r_name": "Q"}}, "multi": True}, {"q": {"_id": 70}, "u": {"$set": {"r_name": "U"}}, "upsert": True},
+        {"q": {}, "u": {"r_name": "no"}, "multi": True}, {"q": {"_id": 4}, "u": {"$set": {"r_name": "never"}}},
+    ]}],
+    "SELECT count(*) + 1 AS n, count(*) AS modified, 70 AS upserted, 2 AS failed, 10158 AS code, count(*) + 1 AS changed FROM region WHERE r_regionkey < 3",
+    "n long, modified long, upserted int, failed int, code int, changed long",
+    lambda db, a: [(
+        a[0]["n"], a[0]["nModified"], a[0]["upserted"][0]["_id"], a[0]["writeErrors"][0]["index"], a[0]["writeErrors"][0]["code"],
+        db["region"].count({"r_name": {"$in": ["Q", "U", "never"]}}),
+    )],
+)
+_region_command(
+    "cmd_delete", [{"delete": "region", "deletes": [{"q": {"_id": {"$gte": 3}}, "limit": 0}, {"q": {}, "limit": 1}]}, {"delete": "none", "deletes": [{"q": {}}]}],
+    "SELECT count(*) FILTER (r_regionkey >= 3) + 1 AS n, CAST(0 AS BIGINT) AS none, count(*) FILTER (r_regionkey < 3) - 1 AS held FROM region",
+    "n long, none long, held long", lambda db, a: [(a[0]["n"], a[1]["n"], db["region"].count())],
+)
+_region_command(
+    "cmd_findandmodify",
+    [{"findAndModify": "region", "query": {"_id": 2}, "update": {"$set": {"r_name": "M"}}, "new": True}, {"findAndModify": "region", "query": {}, "sort": {"_id": 1}, "remove": True},
+     {"findAndModify": "region", "query": {}}],
+    "SELECT 'M' AS r_name, 20002 AS sorted, 15899 AS neither", "r_name string, sorted int, neither int",
+    lambda db, a: [(a[0]["value"]["r_name"], a[1]["code"], a[2]["code"])],
+)
+_region_command(
+    "cmd_getlasterror", [{"insert": "region", "documents": [{"_id": 300}]}, {"getLastError": 1}, {"insert": "region", "documents": [{"_id": 300}]}, {"getLastError": 1}],
+    "SELECT CAST(1 AS BIGINT) AS n, true AS fine, 11000 AS code", "n long, fine boolean, code int",
+    lambda db, a: [(a[1]["n"], a[1]["err"] is None, a[3]["code"])],
+)
+_region_command(
+    "cmd_count", [{"count": "region", "query": {"_id": {"$gte": 1}}}, {"count": "region", "skip": 2}, {"count": "region", "limit": 3}, {"count": "none"}],
+    "SELECT count(*) FILTER (r_regionkey >= 1) AS found, count(*) - 2 AS skipped, CAST(3 AS BIGINT) AS limited, CAST(0 AS BIGINT) AS none FROM region",
+    "found long, skipped long, limited long, none long", lambda db, a: [tuple(x["n"] for x in a)],
+)
+_commands(
+    "cmd_distinct", "nation", "n_nationkey", [{"distinct": "nation", "key": "n_regionkey", "query": {"n_regionkey": {"$lt": 3}}}],
+    "SELECT n_regionkey AS value, (SELECT count(*) FROM nation WHERE n_regionkey < 3) AS n, (SELECT count(*) FROM nation) AS nscanned"
+    " FROM nation WHERE n_regionkey < 3 GROUP BY n_regionkey",
+    "value int, n long, nscanned long", lambda db, a: [(v, a[0]["stats"]["n"], a[0]["stats"]["nscanned"]) for v in a[0]["values"]],
+)
+_region_command(
+    "cmd_create_drop",
+    [{"create": "fresh"}, {"create": "capped", "capped": True}, {"listCollections": 1}, {"listCollections": 1, "cursor": {"batchSize": 5}}, {"drop": "fresh"}, {"drop": "fresh"},
+     {"listDatabases": 1}, {"dropDatabase": 1}, {"listCollections": 1}],
+    "SELECT 11002 AS capped, 'fresh,region' AS names, 11002 AS batched, 1 AS dropped, 0 AS again, 'db' AS databases, 0 AS rest",
+    "capped int, names string, batched int, dropped int, again int, databases string, rest int",
+    lambda db, a: [(a[1]["code"], ",".join(a[2]["collections"]), a[3]["code"], a[4]["ok"], a[5]["ok"], ",".join(a[6]["databases"]), len(a[8]["collections"]))],
+)
+_region_command(
+    "cmd_rename",
+    [{"create": "other"}, {"renameCollection": "db.none", "to": "db.x"}, {"renameCollection": "db.region", "to": "db.other"}, {"renameCollection": "db.region", "to": "db.region"},
+     {"renameCollection": "db.region", "to": "db.other", "dropTarget": True}],
+    f"SELECT 29976 AS missing, 29977 AS taken, 29978 AS same, 1 AS done, 'other' AS names, {_REGIONS} AS n",
+    "missing int, taken int, same int, done int, names string, n long",
+    lambda db, a: [(a[1]["code"], a[2]["code"], a[3]["code"], a[4]["ok"], ",".join(db.collections()), db["other"].count())],
+)
+_NAME = {"key": {"n_name": 1}, "name": "by_name", "unique": True}
+_commands(
+    "cmd_indexes", "nation", "n_nationkey",
+    [{"createIndexes": "nation", "indexes": [_NAME]}, {"createIndexes": "nation", "indexes": [_NAME]}, {"createIndexes": "nation", "indexes": [{"key": {"n_regionkey": 1}, "name": "by_name"}]},
+     {"createIndexes": "nation", "indexes": [{"key": {"n_regionkey": 1}, "name": "by_region", "unique": True}]},
+     {"createIndexes": "nation", "indexes": [{"key": {"a": 1, "b": -1}, "name": "x"}]}, {"createIndexes": "nation", "indexes": [{"key": {"a": "text"}, "name": "x"}]},
+     {"createIndexes": "nation", "indexes": [{"key": {"_id": 1, "b": 1}, "name": "x"}]}, {"createIndexes": "nation", "indexes": [{"key": {"a": 1}}]},
+     {"listIndexes": "nation"}, {"collStats": "nation"}, {"dbStats": 1}],
+    "SELECT 2 AS made, 2 AS again, 29993 AS same_name, 11000 AS violated, 29990 AS mixed, 29969 AS text, 29982 AS with_id, 29967 AS no_name,"
+    " '_id_:ready,by_name:ready' AS names, 2 AS nindexes, (SELECT count(*) FROM nation) AS n, 1 AS collections",
+    "made int, again int, same_name int, violated int, mixed int, text int, with_id int, no_name int, names string, nindexes int, n long, collections int",
+    lambda db, a: [(
+        a[0]["numIndexesAfter"], a[1]["numIndexesAfter"], *(x["code"] for x in a[2:8]), ",".join(f"{i['name']}:{i['status']}" for i in a[8]["indexes"]),
+        a[9]["nindexes"], a[9]["count"], a[10]["collections"],
+    )],
+)
+_commands(
+    "cmd_drop_indexes", "nation", "n_nationkey",
+    [{"createIndexes": "nation", "indexes": [_NAME, {"key": "n_regionkey", "name": "r"}, {"key": {"n_regionkey": 1, "n_name": 1}, "name": "rn"}]},
+     {"insert": "nation", "documents": [{"_id": 900, "n_name": "NATION_3"}]}, {"dropIndexes": "nation", "index": "by_name"}, {"dropIndexes": "nation", "index": {"n_regionkey": 1}},
+     {"insert": "nation", "documents": [{"_id": 900, "n_name": "NATION_3"}]}, {"deleteIndexes": "nation", "index": "*"}, {"dropIndexes": "nation", "index": "none"}],
+    "SELECT 4 AS held, 11000 AS refused, 1 AS by_name, 1 AS by_key, CAST(1 AS BIGINT) AS accepted, 1 AS rest, 0 AS nothing",
+    "held int, refused int, by_name int, by_key int, accepted long, rest int, nothing int",
+    lambda db, a: [(a[0]["numIndexesAfter"], a[1]["code"], a[2]["dropped"], a[3]["dropped"], a[4]["n"], a[5]["dropped"], a[6]["dropped"])],
+)
+_region_command(
+    "cmd_info",
+    [{"buildInfo": 1}, {"isMaster": 1}, {"ping": 1}, {"serverStatus": 1}, {"connectionStatus": 1}, {"availableQueryOptions": 1}, {"getCmdLineOpts": 1}, {"getLog": "global"},
+     {"getDocLayerVersion": 1}, {"whatsMyUri": 1}, {"getNonce": 1}, {"getKVStatus": 1}, {"getMemoryUsage": 1}, {"replSetGetStatus": 1}, {"fakeError": 1}, {"noSuch": 1}],
+    "SELECT '3.0.0' AS version, 16777216 AS most, 13 AS ok, 0 AS repl, 29966 AS fake, 0 AS unknown", "version string, most int, ok int, repl int, fake int, unknown int",
+    lambda db, a: [(a[0]["version"], a[1]["maxBsonObjectSize"], sum(x["ok"] for x in a), a[13]["ok"], a[14]["code"], a[15]["ok"])],
 )
 add(
-    "insert_many",
-    lambda s, d: C.load(s, d, "region").unionByName(s.createDataFrame([(100, "A"), (101, "B")], "r_regionkey int, r_name string")),
-    "SELECT r_regionkey, r_name FROM region UNION ALL VALUES (100, 'A'), (101, 'B')",
+    "find_wrapped",
+    lambda s, d: stored(s, d, "nation", "n_nationkey")[1].find({"$query": {"n_regionkey": {"$gte": 2}}, "$orderby": {"n_name": -1}, "$hint": "by_name"}, {"n_name": 1}, limit=5).withColumnRenamed("_id", "n_nationkey"),
+    "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey >= 2 ORDER BY n_name DESC LIMIT 5",
 )
 add(
-    "insert_duplicate_check",
-    lambda s, d: s.createDataFrame([(1,), (100,), (100,), (4,)], "r_regionkey int").groupBy("r_regionkey").agg(F.count("*").alias("n")).join(
-        C.load(s, d, "region").select("r_regionkey", F.lit(1).alias("held")), "r_regionkey", "left"
-    ).filter("n > 1 OR held = 1").select("r_regionkey"),
-    "SELECT * FROM (VALUES (1), (4), (100)) t(r_regionkey)",
+    "find_by_id",
+    lambda s, d: stored(s, d, "nation", "n_nationkey")[1].find({"_id": {"$gt": 3, "$lte": 9}}, {"_id.x": 1, "n_name": 1}).withColumnRenamed("_id", "n_nationkey"),
+    "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey > 3 AND n_nationkey <= 9",
 )
+add(
+    "cursor_batches",
+    lambda s, d: s.createDataFrame(
+        [(n, len(b)) for n, b in enumerate(_batches(find(C.load(s, d, "events"), {"event_type": "click"}, {"event_id": 1, "_id": 0})))], "batch int, n int"
+    ),
+    "WITH c AS (SELECT count(*) AS n FROM events WHERE event_type = 'click'), b AS (SELECT unnest(range(0, (SELECT 1 + CAST(ceil(greatest(n - 101, 0) / 1000) AS BIGINT) FROM c))) AS batch)"
+    " SELECT CAST(batch AS INT) AS batch, CAST(CASE WHEN batch = 0 THEN least(n, 101) ELSE least(1000, n - 101 - (batch - 1) * 1000) END AS INT) AS n FROM b, c",
+)
+
+
+def _batches(df: DataFrame):
+    cursor = Cursor(df)
+    while cursor.alive and (batch := cursor.next_batch()):
+        yield batch
+
+
+_ENDS = "SELECT * FROM (VALUES (1, {a}), (2, {b}), (3, {c})) t(id, x)"
+
+
+def _at_ends(name: str, update: dict, kind: str, before: tuple, after: tuple) -> None:
+    """An update of integers next to the ends of their type."""
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        df = s.createDataFrame(list(enumerate(before, 1)), f"id int, x {kind}")
+        return apply_update(df, F.lit(True), update, "id")
+
+    cast = "INT" if kind == "int" else "BIGINT"
+    a, b, c = (f"CAST({v} AS {cast})" for v in after)
+    add(name, run, _ENDS.format(a=a, b=b, c=c))
+
+
+_at_ends("upd_inc_overflow", {"$inc": {"x": 2}}, "int", (2**31 - 1, -5, 2**31 - 3), (-(2**31) + 1, -3, 2**31 - 1))
+_at_ends("upd_inc_overflow_long", {"$inc": {"x": 2}}, "long", (2**63 - 1, -(2**63), 7), (-(2**63) + 1, -(2**63) + 2, 9))
+_at_ends("upd_mul_overflow", {"$mul": {"x": 3}}, "int", (2**30, -(2**31), 5), (3 * 2**30 - 2**32, -(2**31), 15))
+_at_ends("upd_mul_overflow_long", {"$mul": {"x": 4}}, "long", (2**62 + 1, -(2**63) + 3, 5), (4, 12, 20))
+_at_ends("upd_bit_long", {"$bit": {"x": {"or": 1}}}, "long", (2**40 + 6, 2**31, -2), (7, -(2**31) + 1, -1))
 
 # --- indexes ----------------------------------------------------------------------------------
 
 _STATUS = Index("status", (("orders.o_orderstatus", 1),), True)
 add(
     "index_entries_simple", lambda s, d: entries(C.customers(s, d), _STATUS, "c_custkey"),
-    f"WITH {C.D3_URGENT} SELECT DISTINCT unnest(CASE WHEN orders IS NULL THEN [NULL] ELSE list_transform(orders, lambda x: x.o_orderstatus) END) AS k0, c_custkey AS id FROM cust",
+    f"WITH {C.D3_ALL} SELECT DISTINCT unnest(CASE WHEN orders IS NULL THEN [NULL] ELSE list_transform(orders, lambda x: x.o_orderstatus) END) AS k0, c_custkey AS id FROM cust",
 )
 add(
     "index_entries_compound",
     lambda s, d: entries(C.customers(s, d), Index("c", (("c_mktsegment", 1), ("orders.o_orderstatus", 1))), "c_custkey"),
-    f"WITH {C.D3_URGENT} SELECT DISTINCT c_mktsegment AS k0, unnest(CASE WHEN orders IS NULL THEN [NULL] ELSE list_transform(orders, lambda x: x.o_orderstatus) END) AS k1, c_custkey AS id FROM cust",
+    f"WITH {C.D3_ALL} SELECT DISTINCT c_mktsegment AS k0, unnest(CASE WHEN orders IS NULL THEN [NULL] ELSE list_transform(orders, lambda x: x.o_orderstatus) END) AS k1, c_custkey AS id FROM cust",
 )
 add(
     "unique_violations", lambda s, d: violations(C.customers(s, d), _STATUS, "c_custkey"),
-    f"WITH {C.D3_URGENT}, e AS (SELECT DISTINCT unnest(CASE WHEN orders IS NULL THEN [NULL] ELSE list_transform(orders, lambda x: x.o_orderstatus) END) AS k0, c_custkey AS id FROM cust)"
+    f"WITH {C.D3_ALL}, e AS (SELECT DISTINCT unnest(CASE WHEN orders IS NULL THEN [NULL] ELSE list_transform(orders, lambda x: x.o_orderstatus) END) AS k0, c_custkey AS id FROM cust)"
     " SELECT k0, count(*) AS n FROM e GROUP BY k0 HAVING count(DISTINCT id) > 1",
 )
 
@@ -458,13 +638,41 @@ add(
     f"WITH {C.D4} SELECT event_id FROM ev ORDER BY props DESC NULLS LAST, event_id LIMIT 25",
 )
 
+
+
+def _variant_value(name: str, query: dict, where: str) -> None:
+    """Values that JSON has no literals for, or that doubles do not tell apart."""
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        big = (F.lit(2**53).cast("long") + F.col("event_id") % 3).alias("big")
+        e = C.load(s, d, "events").select("event_id", F.to_variant_object(F.struct(F.col("ts").alias("at"), big, F.col("event_type").cast("binary").alias("raw"))).alias("doc"))
+        return find(e, query, {"event_id": 1, "_id": 0}, variant="doc")
+
+    add(f"variant_{name}", run, f"SELECT event_id FROM events WHERE {where}")
+
+
+_BIG = "9007199254740992 + event_id % 3"
+_variant_value("date", {"at": {"$lt": datetime.datetime(2024, 1, 10)}}, "ts < TIMESTAMP '2024-01-10'")
+_variant_value("bytes", {"raw": b"click"}, "event_type = 'click'")
+_variant_value("big_gt", {"big": {"$gt": 2**53}}, f"{_BIG} > 9007199254740992")
+_variant_value("big_eq", {"big": 2**53 + 1}, f"{_BIG} = 9007199254740993")
+_variant("type_int", {"n": {"$type": 16}}, "true")
+_variant("type_long", {"n": {"$type": 18}}, "false")
+add(
+    "sort_objects",
+    lambda s, d: find(
+        C.events(s, d).withColumn("all", F.array("props")), {}, {"event_id": 1, "_id": 0}, sort={"all": -1, "props": 1, "event_id": 1}, limit=30
+    ),
+    f"WITH {C.D4} SELECT event_id FROM ev ORDER BY props DESC NULLS LAST, event_id LIMIT 30",
+)
+
 # --- flagship ---------------------------------------------------------------------------------
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers of two segments with a large finished order, projected and sorted."""
     return find(
-        C.customers(spark, sf_dir, urgent=False),
+        C.customers(spark, sf_dir),
         {"c_mktsegment": {"$in": ["BUILDING", "HOUSEHOLD"]}, "orders": {"$elemMatch": {"o_orderstatus": "F", "o_totalprice": {"$gt": 100000}}}},
         {"c_name": 1, "c_mktsegment": 1, "c_acctbal": 1}, sort={"c_acctbal": -1, "c_custkey": 1}, id_field="c_custkey",
     )

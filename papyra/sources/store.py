@@ -14,7 +14,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterable, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +30,7 @@ from papyra.plans.simplify import simplify
 from papyra.sources.files import Files
 
 ID = "_id"
-RETRIES = 5
+RETRIES = 20
 _ID_SCHEMA = T.StructType([T.StructField(ID, T.StringType())])
 
 
@@ -44,16 +44,18 @@ class Version:
     files: list[str] = field(default_factory=list)
     schema: T.StructType = field(default_factory=lambda: _ID_SCHEMA)
     indexes: list[Index] = field(default_factory=list)
+    #: The newest batch of every stream that was inserted.
+    batches: dict[str, int] = field(default_factory=dict)
 
     def text(self) -> str:
-        indexes = [[i.name, list(map(list, i.fields)), i.unique] for i in self.indexes]
-        return json.dumps({"files": self.files, "schema": self.schema.jsonValue(), "indexes": indexes})
+        indexes = [[i.name, list(map(list, i.fields)), i.unique, i.status] for i in self.indexes]
+        return json.dumps({"files": self.files, "schema": self.schema.jsonValue(), "indexes": indexes, "batches": self.batches})
 
     @staticmethod
     def read(number: int, text: str) -> Version:
         x = json.loads(text)
-        indexes = [Index(n, tuple((p, d) for p, d in f), u) for n, f, u in x["indexes"]]
-        return Version(number, x["files"], T.StructType.fromJson(x["schema"]), indexes)
+        indexes = [Index(n, tuple((p, d) for p, d in f), *more) for n, f, *more in x["indexes"]]
+        return Version(number, x["files"], T.StructType.fromJson(x["schema"]), indexes, x.get("batches", {}))
 
 
 def new_id() -> Column:
@@ -78,8 +80,10 @@ class Collection:
             return Version()
         return Version.read(int(names[-1][:-5]), self.files.read(f"{self.path}/versions/{names[-1]}"))
 
-    def _publish(self, old: Version, files: list[str], schema: T.StructType, indexes: list[Index] | None = None) -> Version:
-        new = Version(old.number + 1, files, schema, old.indexes if indexes is None else indexes)
+    def _publish(
+        self, old: Version, files: list[str], schema: T.StructType, indexes: list[Index] | None = None, batch: dict | None = None
+    ) -> Version:
+        new = Version(old.number + 1, files, schema, old.indexes if indexes is None else indexes, old.batches | (batch or {}))
         self.files.make(f"{self.path}/versions")
         if not self.files.create(f"{self.path}/versions/{new.number:012d}.json", new.text()):
             raise Conflict
@@ -143,11 +147,32 @@ class Collection:
         if duplicates and df.groupBy(ID).agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
             raise DocumentError(11000, ID)
         for index in indexes:
-            if index.unique and violations(df, index, ID).limit(1).count():
+            try:
+                found = index.unique and violations(df, index, ID).limit(1).count()
+                if not index.unique and len(index.fields) > 1:
+                    entries(df, index, ID).agg(F.max("k0")).collect()  # the bound on entries holds for every document
+            except Exception as e:
+                if "29992" in str(e):
+                    raise DocumentError(29992, index.name) from None
+                raise
+            if found:
                 raise DocumentError(11000, index.name)
 
-    def insert(self, documents: DataFrame | list[dict]) -> int:
-        """Add documents, all or none; a document without an id gets one."""
+    def insert(self, documents: DataFrame | list[dict], batch: tuple[str, int] | None = None) -> int:
+        """Add documents, all or none; a document without an id gets one.
+
+        ``batch``: a stream and the number of its batch, which is inserted once only; its number is kept in the version.
+        """
+        documents = self._frame_of(documents)
+
+        def statement(old: Version):
+            if batch and old.batches.get(batch[0], -1) >= batch[1]:
+                return 0
+            return self._add(old, documents, dict([batch]) if batch else None)[1]
+
+        return self._retry(statement)
+
+    def _frame_of(self, documents: DataFrame | list[dict]) -> DataFrame:
         if not isinstance(documents, DataFrame):
             documents = [dict(d) for d in documents]
             for d in documents:
@@ -167,24 +192,23 @@ class Collection:
         elif isinstance(documents.schema[ID].dataType, T.StringType):
             documents = documents.withColumn(ID, F.coalesce(ID, new_id()))
 
-        def statement(old: Version):
-            same = not old.files
-            schema = documents.schema if same else updating.wider(old.schema, documents.schema)
-            # Ids that were made here have to be the ones that are checked, so the rows are written first.
-            fresh = documents.select(*[_field(documents, f) for f in schema])
-            added = self._write(fresh)
-            now = Version(old.number, old.files + added, schema, old.indexes)
-            new_rows = self._frame(now, added)
-            self._check(new_rows, [])
-            if old.files:
-                held = self._frame(now, old.files).select(ID)
-                if held.join(new_rows.select(ID), ID, "left_semi").limit(1).count():
-                    raise DocumentError(11000, ID)
-            self._check(self._frame(now), old.indexes, False)
-            self._publish(old, old.files + added, schema)
-            return new_rows.count()
-
-        return self._retry(statement)
+        return documents
+
+    def _add(self, old: Version, documents: DataFrame, batch: dict | None = None) -> tuple[Version, int]:
+        """The version with the documents added, and how many there are."""
+        schema = documents.schema if not old.files else updating.wider(old.schema, documents.schema)
+        # Ids that were made here have to be the ones that are checked, so the rows are written first.
+        fresh = documents.select(*[_field(documents, f) for f in schema])
+        added = self._write(fresh)
+        now = Version(old.number, old.files + added, schema, old.indexes)
+        new_rows = self._frame(now, added)
+        self._check(new_rows, [])
+        if old.files:
+            held = self._frame(now, old.files).select(ID)
+            if held.join(new_rows.select(ID), ID, "left_semi").limit(1).count():
+                raise DocumentError(11000, ID)
+        self._check(self._frame(now), old.indexes, False)
+        return self._publish(old, old.files + added, schema, batch=batch), new_rows.count()
 
     def _first(self, df: DataFrame, hit: Column, limit: int) -> Column:
         """The condition for the ``limit`` matching documents with the smallest ids."""
@@ -193,8 +217,8 @@ class Collection:
         ids = [r[ID] for r in df.filter(hit).select(ID).orderBy(ID).limit(limit).collect()]
         return F.col(ID).isin(ids) if ids else F.lit(False)
 
-    def _rewrite(self, old: Version, query, limit: int, change) -> int:
-        """Put ``change(rows, hit)`` in the place of the files that hold a matching document."""
+    def _rewrite(self, old: Version, query, limit: int, change) -> tuple[Version, int]:
+        """The version with ``change(rows, hit)`` in the place of the files that hold a matching document, and the matches."""
         df = self._frame(old)
         hit = F.coalesce(finding.matching(df, query).pos, F.lit(False))
         hit = self._first(df, hit, limit)
@@ -202,7 +226,7 @@ class Collection:
         touched = df.filter(hit).groupBy(F.input_file_name().alias("f")).agg(F.count("*").alias("n")).collect()
         n = sum(r["n"] for r in touched)
         if not n:
-            return 0
+            return old, 0
         named = {"/".join(r["f"].rsplit("/", 2)[-2:]) for r in touched}
         rows = self._frame(old, [f for f in old.files if f in named])
         new = change(rows, hit)
@@ -211,8 +235,7 @@ class Collection:
         files = kept + self._write(new)
         now = Version(old.number, files, schema, old.indexes)
         self._check(self._frame(now), old.indexes, False)
-        self._publish(old, files, schema)
-        return n
+        return self._publish(old, files, schema), n
 
     def update(self, query: Mapping, update: Mapping, upsert: bool = False, multi: bool = False) -> dict:
         """Update the matching documents, or the one with the smallest id; insert if none and ``upsert``."""
@@ -223,15 +246,17 @@ class Collection:
             updating.validate(update, ID)
 
         def statement(old: Version):
-            n = self._rewrite(old, query, 0 if multi else 1, lambda df, hit: updating.apply_update(df, hit, update, ID))
-            return {"n": n, "nModified": n, "upserted": None}
+            _, n = self._rewrite(old, query, 0 if multi else 1, lambda df, hit: updating.apply_update(df, hit, update, ID))
+            if n or not upsert:
+                return {"n": n, "nModified": n, "upserted": None}
+            row, made = self._upsert(query, update, operators)
+            self._add(old, row)  # on the version that has no match, so nobody else has added it meanwhile
+            return {"n": 1, "nModified": 0, "upserted": made}
 
-        done = self._retry(statement)
-        if not done["n"] and upsert:
-            done.update(n=1, upserted=self._upsert(query, update, operators))
-        return done
+        return self._retry(statement)
 
-    def _upsert(self, query: Mapping, update: Mapping, operators: bool):
+    def _upsert(self, query: Mapping, update: Mapping, operators: bool) -> tuple[DataFrame, object]:
+        """The document that an upsert adds, and its id."""
         if not operators:
             document = dict(update)
             wanted = query.get(ID)
@@ -257,32 +282,38 @@ class Collection:
             row = row.select(*columns, *[c.cast(_filled(d)).alias(n) for n, (c, d) in changed.items()])
         if ID not in row.columns:
             row = row.withColumn(ID, F.lit(uuid.uuid4().hex[:24]))
-        made = row.select(ID).first()[ID]
-        self.insert(row)
-        return made
+        return row, row.select(ID).first()[ID]
 
     def delete(self, query: Mapping, limit: int = 0) -> int:
         """Remove the matching documents, or the ``limit`` ones with the smallest ids."""
-        return self._retry(lambda old: self._rewrite(old, query, limit, lambda df, hit: df.filter(~hit)))
+        return self._retry(lambda old: self._rewrite(old, query, limit, lambda df, hit: df.filter(~hit))[1])
 
     def find_and_modify(self, query=None, update=None, remove: bool = False, new: bool = False, upsert: bool = False, fields=None, sort=None):
-        """Change or remove the first match; the document before (or after), or ``None``."""
+        """Change or remove the first match, in one version; the document before (or after), or ``None``."""
         if sort:
             raise DocumentError(20002)
         if bool(update) == bool(remove):
             raise DocumentError(15899)
-        first = self.find(query, sort={ID: 1}, limit=1).select(ID).first()
-        if first is None:
-            if not (update and upsert):
-                return None
-            made = self.update(query or {}, update, upsert=True)["upserted"]
-            return self.find({ID: made}, fields).first() if new else None
-        before = self.find({ID: first[ID]}, fields).first()
-        if remove:
-            self.delete({ID: first[ID]}, 1)
-            return before
-        self.update({ID: first[ID]}, update)
-        return self.find({ID: first[ID]}, fields).first() if new else before
+        operators = bool(update) and updating.is_operator_update(update)
+        if operators:
+            updating.validate(update, ID)
+
+        def statement(old: Version):
+            rows = self._frame(old)
+            read = lambda version, value: finding.find(self._frame(version), {ID: value}, fields).first()
+            first = finding.find(rows, query, sort={ID: 1}, limit=1).select(ID).first()
+            if first is None:
+                if not (update and upsert):
+                    return None
+                row, made = self._upsert(query or {}, update, operators)
+                now, _ = self._add(old, row)
+                return read(now, made) if new else None
+            before = read(old, first[ID])
+            change = (lambda df, hit: df.filter(~hit)) if remove else (lambda df, hit: updating.apply_update(df, hit, update, ID))
+            now, _ = self._rewrite(old, {ID: first[ID]}, 1, change)
+            return read(now, first[ID]) if new and not remove else before
+
+        return self._retry(statement)
 
     # --- indexes ------------------------------------------------------------------------------
 
@@ -295,11 +326,23 @@ class Collection:
                 return False
             if any(i.name == index.name for i in old.indexes):
                 raise DocumentError(29993, index.name)
-            self._check(self._frame(old), [index], False)
-            self._publish(old, old.files, old.schema, [*old.indexes, index])
+            # From here on writers hold to the index, while the documents that are there are checked.
+            self._publish(old, old.files, old.schema, [*old.indexes, replace(index, status="building")])
             return True
 
-        return self._retry(statement)
+        def settle(old: Version, status: str | None):
+            kept = [replace(i, status=status) if i.name == index.name and status else i for i in old.indexes if status or i.name != index.name]
+            self._publish(old, old.files, old.schema, kept)
+
+        if not self._retry(statement):
+            return False
+        try:
+            self._check(self.frame(), [index], False)
+        except DocumentError:
+            self._retry(lambda old: settle(old, None))
+            raise
+        self._retry(lambda old: settle(old, "ready"))
+        return True
 
     def drop_index(self, which: str | Mapping) -> int:
         """Drop by name, by key, or all (``*``); the number dropped."""
@@ -318,7 +361,7 @@ class Collection:
         return self._retry(statement)
 
     def indexes(self) -> list[dict]:
-        return [{"name": "_id_", "key": {ID: 1}, "unique": True}, *(i.document() for i in self.version().indexes)]
+        return [{"name": "_id_", "key": {ID: 1}, "unique": True, "status": "ready"}, *(i.document() for i in self.version().indexes)]
 
     def index_entries(self, name: str) -> DataFrame:
         version = self.version()
@@ -439,7 +482,8 @@ class Database:
     def _do_distinct(self, c, d):
         values = [r["value"] for r in self[c].distinct(d["key"], d.get("query")).collect()]
         n = self[c].count(d.get("query"))
-        return {"values": values, "stats": {"n": n, "nscanned": self[c].count(), "nscannedObjects": self[c].count()}}
+        every = self[c].count() if d.get("query") else n
+        return {"values": values, "stats": {"n": n, "nscanned": every, "nscannedObjects": every}}
 
     def _do_create(self, c, d):
         if d.get("capped") or d.get("storageEngine"):
@@ -490,6 +534,27 @@ class Database:
 
         return {"version": "3.0.0", "engine": __version__, "spark": self.spark.version, "maxBsonObjectSize": 16777216}
 
+    def _do_getdoclayerversion(self, c, d):
+        from papyra import __version__
+
+        return {"packageVersion": __version__}
+
+    def _do_getmemoryusage(self, c, d):
+        runtime = self.spark._jvm.java.lang.Runtime.getRuntime()
+        return {"process memory usage": runtime.totalMemory() - runtime.freeMemory()}
+
+    def _do_getkvstatus(self, c, d):
+        return {"root": self.root, "databases": self.files.names(self.root)}
+
+    def _do_whatsmyuri(self, c, d):
+        return {"you": "127.0.0.1:0"}
+
+    def _do_getnonce(self, c, d):
+        return {"nonce": "0000000000000000"}
+
+    def _do_fakeerror(self, c, d):
+        raise DocumentError(29966)
+
     def _do_ismaster(self, c, d):
         return {"ismaster": True, "maxBsonObjectSize": 16777216, "maxMessageSizeBytes": 48000000, "maxWriteBatchSize": 1000}
 

@@ -18,11 +18,15 @@ def live_find(stream: DataFrame, query: Mapping | None = None, projection: Mappi
 
 
 def append_to(stream: DataFrame, collection: Collection, checkpoint: str, **trigger) -> StreamingQuery:
-    """Insert every micro-batch of a stream into a collection, each as one version."""
+    """Insert every micro-batch of a stream into a collection, each as one version and once only.
 
-    def write(batch: DataFrame, _: int) -> None:
+    The version keeps the number of the newest batch by the stream's checkpoint folder, so a batch that is
+    tried again after a failure is not added a second time.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
-            collection.insert(batch)
+            collection.insert(batch, (checkpoint, number))
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
