@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from papyra.llm.common import join_hot, map_rows, row_hash, space_words, text_bytes
+from papyra.llm.common import HOT_SHARE, LEAST_HOT, join_hot, map_rows, row_hash, space_words, text_bytes
 from papyra.llm.components import components
 from papyra.llm.simhash import SEED, links_between
 from papyra.session import checkpoint, prepare
@@ -42,6 +42,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 20, 4
 #: Bytes of sets in one block.
 BLOCK_BYTES = 8 << 20
+#: Parts of the nodes of one first node where these are counted and looked up.
+SALTS = 16
 _RNG = np.random.default_rng(SEED)
 _FLIP = _RNG.integers(0, 2**64, (BANDS * ROWS, 1), np.uint64)
 _TURN = _RNG.integers(0, 2**64, (BANDS * ROWS, 1), np.uint64) | np.uint64(1)
@@ -166,8 +168,19 @@ def _own(blocks: Column) -> Column:
 def _with_first(met: DataFrame, sets: DataFrame, similarity: float, block: int) -> DataFrame:
     """Links between the smallest node of a key and the others of the key."""
     pairs = checkpoint(met.filter("node <> first").select("first", "node", "n").distinct())
-    sizes = pairs.groupBy("first").agg(F.count("*").alias("m"), _blocks(F.sum("n"), block).alias("blocks"))
-    cut = join_hot(pairs, sizes, "first", "m", pairs.count()).select("first", "node", _own(F.col("blocks")).alias("p"))
+    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS))
+    parts = pairs.groupBy("first", salt.alias("salt")).agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+    sizes = parts.groupBy("first").agg(F.sum("m").alias("m"), _blocks(F.sum("n"), block).alias("blocks"))
+    # Only a first node of several blocks has to be looked up. Hot ones, few as in ``join_hot``, go to every task; the others
+    # meet their nodes by salts, so that not even some of them make a task long.
+    cut = checkpoint(sizes.filter("blocks > 1"))
+    salts = F.array(*[F.lit(i).cast("long") for i in range(SALTS)])
+    least = max(pairs.count() // HOT_SHARE, LEAST_HOT)
+    hot = cut.filter(F.col("m") > least).select("first", F.col("blocks").alias("hot"))
+    cold = cut.filter(F.col("m") <= least).select("first", "blocks", F.explode(salts).alias("salt"))
+    dealt = pairs.join(F.broadcast(hot), "first", "left").withColumn("salt", F.when(F.col("hot").isNull(), salt).otherwise(F.xxhash64("node")))
+    own = _own(F.coalesce("hot", "blocks", F.lit(1))).alias("p")
+    cut = dealt.join(cold, ["first", "salt"], "left").select("first", "node", own)
     hubs = cut.select("first", F.col("first").alias("node"), "p").distinct()
     groups = cut.withColumn("asks", F.lit(False)).unionByName(hubs.withColumn("asks", F.lit(True)))
     gid = F.xxhash64("first", "p").alias("gid")

@@ -100,3 +100,18 @@ def test_odd_rows_stay_or_go_by_their_texts(spark, odd, none):
     assert O.one_of_each(none).count() == 0
     maps = spark.createDataFrame([(1, "x", {"a": 1}), (2, "x", None)], "doc_id long, text string, m map<string,int>")
     assert [r["doc_id"] for r in O.one_of_each(maps).collect()] == [1]
+
+
+def test_hot_and_cold_first_nodes_are_cut_into_blocks(spark):
+    """More nodes than a hot key has rows, and fewer, in blocks of a few sets: every node is linked to its first one."""
+    rows, sets = [], []
+    for first, n in ((0, O.LEAST_HOT + 60), (10_000, 40)):
+        for i in range(n):
+            own = np.unique(np.append(np.arange(first, first + 60), 1_000_000 + first + i)).astype(np.uint64)
+            rows.append((first, first, first + i, len(own)))
+            sets.append((first + i, bytearray(own.tobytes())))
+    met = spark.createDataFrame(rows, "key long, first long, node long, n long")
+    held = spark.createDataFrame(sets, "node long, set binary")
+    for block in (61 * 8 * 4, O.BLOCK_BYTES):
+        links = {tuple(sorted((r["a"], r["b"]))) for r in O._with_first(met, held, 0.8, block).collect()}
+        assert links == {(first, node) for _, first, node, _ in rows if node != first}
