@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from papyra.functions.order import sort_keys, variant_sort_keys
 from papyra.functions.paths import value_at, values_of
+from papyra.functions.variants import equal_key, values_at
 from papyra.operators.project import project
 from papyra.plans.compile import Cond, condition
 from papyra.plans.parser import parse
@@ -62,7 +63,7 @@ def find(
         found = found.offset(skip)
     if limit:
         found = found.limit(abs(limit))
-    return project(found, projection, id_field)
+    return project(found, projection, id_field, variant)
 
 
 def count(df: DataFrame, query: Mapping | None = None, skip: int = 0, limit: int = 0, variant: str | None = None) -> DataFrame:
@@ -72,13 +73,18 @@ def count(df: DataFrame, query: Mapping | None = None, skip: int = 0, limit: int
     return match(df, query, variant).agg(n.cast("long").alias("n"))
 
 
-def distinct(df: DataFrame, path: str, query: Mapping | None = None) -> DataFrame:
+def distinct(df: DataFrame, path: str, query: Mapping | None = None, variant: str | None = None) -> DataFrame:
     """One column ``value``: the distinct values at a path, arrays taken apart one level, in their order.
 
-    Missing values are no values. All values of a document count.
+    Missing values are no values. All values of a document count. In VARIANT documents the values are VARIANT, and
+    numbers that are equal are one value; of these the one with the smallest text stays.
     """
-    found = match(df, query)
+    found = match(df, query, variant)
     head, *rest = path.split(".")
+    if variant is not None and head not in df.columns:
+        every = found.select(F.explode(values_at(F.col(f"`{variant}`"), [head, *rest])).alias("value"))
+        one = every.groupBy(equal_key(F.col("value")).alias("key")).agg(F.min_by("value", F.to_json("value")).alias("value"))
+        return one.select("value").orderBy(*variant_sort_keys(F.col("value"), 1))
     values = None
     if head in df.columns:
         values = values_of(F.col(f"`{head}`"), df.schema[head].dataType, rest, False)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from papyra.errors import DocumentError
+from papyra.functions.variants import exclude, include
 
 
 def _tree(spec: Mapping, id_field: str) -> tuple[bool | None, dict, bool | None]:
@@ -77,15 +78,32 @@ def _exclude(col: Column, dtype: T.DataType, tree: dict) -> Column | None:
     return col
 
 
-def project(df: DataFrame, spec: Mapping | None, id_field: str = "_id") -> DataFrame:
-    """Apply a projection document; whole columns that are not kept are never read."""
+def _within(col: Column, tree: dict, inclusive: bool | None, id_wanted: bool | None, id_field: str) -> Column | None:
+    """A VARIANT document with the projected paths; ``None``: no path asks for any of it."""
+    if inclusive:
+        own = {id_field: None} if id_wanted is not False else {}
+        return include(col, {**own, **tree}) if tree else None
+    own = {id_field: None} if id_wanted is False else {}
+    return exclude(col, {**own, **tree}) if own or tree else col
+
+
+def project(df: DataFrame, spec: Mapping | None, id_field: str = "_id", variant: str | None = None) -> DataFrame:
+    """Apply a projection document; whole columns that are not kept are never read.
+
+    Paths that start with no column are those of the documents in the column ``variant``.
+    """
     if not spec:
         return df
     inclusive, tree, id_wanted = _tree(spec, id_field)
+    inner = {n: t for n, t in tree.items() if n not in df.columns}
     columns = []
     for name in df.columns:
         col, dtype = F.col(f"`{name}`"), df.schema[name].dataType
-        if name == id_field:
+        if name == variant and name not in tree:
+            kept = _within(col, inner, inclusive, None if id_field in df.columns else id_wanted, id_field)
+            if kept is not None:
+                columns.append(kept.alias(name))
+        elif name == id_field:
             if id_wanted is not False:
                 columns.append(col)
         elif inclusive:

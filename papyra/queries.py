@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyra import collections as C
+from papyra.functions import variants
 from papyra.operators.find import Cursor, count, distinct, find, match, matching
 from papyra.operators.index import Index, entries, violations
-from papyra.operators.update import apply_update
+from papyra.operators.update import apply_update, apply_variant_update
 from papyra.session import checkpoint_dir, remove_at_exit
 from papyra.sources.store import Collection, Database
 
@@ -683,3 +684,60 @@ add(
     f"WITH {C.D3_ALL} SELECT c_custkey, c_name, c_mktsegment, c_acctbal FROM cust WHERE c_mktsegment IN ('BUILDING', 'HOUSEHOLD')"
     " AND coalesce(len(list_filter(orders, lambda x: x.o_orderstatus = 'F' AND x.o_totalprice > 100000)) > 0, false)",
 )
+
+
+def _shown(docs: DataFrame) -> DataFrame:
+    """What is in the documents: their fields by name, and the values of some."""
+    v = F.col("doc")
+    get = lambda place, kind: F.try_variant_get(v, place, kind)
+    return docs.select(
+        "event_id", F.array_join(F.array_sort(F.map_keys(variants.fields(v))), ",").alias("fields"), get("$.props.k", "bigint").alias("k"),
+        get("$.n", "bigint").alias("n"), F.to_json(get("$.ids", "variant")).alias("ids"), get("$.extra.flag", "boolean").alias("flag"),
+    )
+
+
+def _variant_shown(name: str, make, fields: str, k: str, n: str, ids: str, flag: str) -> None:
+    add(
+        f"variant_{name}", lambda s, d: _shown(make(C.variant_events(s, d))),
+        f"WITH {C.D4} SELECT event_id, {fields} AS fields, CAST({k} AS BIGINT) AS k, CAST({n} AS BIGINT) AS n, {ids} AS ids, CAST({flag} AS BOOLEAN) AS flag FROM ev",
+    )
+
+
+_IDS = "CASE WHEN event_id % 3 = 0 THEN '[' || user_id || ',' || event_id || ']' END"
+_HAS = "CASE WHEN event_id % 3 = 0 THEN 'ids,' ELSE '' END"
+_variant_shown(
+    "proj_in", lambda e: find(e, {}, {"event_id": 1, "props.k": 1, "ids": 1, "_id": 0}, variant="doc"),
+    f"{_HAS} || 'props'", "props", "NULL", _IDS, "NULL",
+)
+_variant_shown(
+    "proj_ex", lambda e: find(e, {}, {"ids": 0, "user_id": 0, "props.k": 0}, variant="doc"),
+    "'event_type,n,props'", "NULL", "event_id", "NULL::VARCHAR", "NULL",
+)
+_BOUGHT = "event_type = 'purchase'"
+
+
+def _bought(update: dict):
+    return lambda e: apply_variant_update(e, F.coalesce(matching(e, {"event_type": "purchase"}, "doc").pos, F.lit(False)), update, "doc")
+
+
+_variant_shown(
+    "update_set", _bought({"$set": {"props.k": 7, "extra.flag": True}, "$unset": {"ids": ""}, "$inc": {"n": 5}}),
+    f"CASE WHEN {_BOUGHT} THEN 'event_type,extra,n,props,user_id' ELSE 'event_type,' || {_HAS} || 'n,props,user_id' END",
+    f"CASE WHEN {_BOUGHT} THEN 7 ELSE props END", f"CASE WHEN {_BOUGHT} THEN event_id + 5 ELSE event_id END",
+    f"CASE WHEN {_BOUGHT} THEN NULL ELSE {_IDS} END", f"CASE WHEN {_BOUGHT} THEN true END",
+)
+_variant_shown(
+    "update_rename", _bought({"$rename": {"user_id": "props.k"}, "$set": {"n": "text now"}}),
+    f"'event_type,' || {_HAS} || CASE WHEN {_BOUGHT} THEN 'n,props' ELSE 'n,props,user_id' END",
+    f"CASE WHEN {_BOUGHT} THEN user_id ELSE props END", f"CASE WHEN {_BOUGHT} THEN NULL ELSE event_id END", _IDS, "NULL",
+)
+_variant_shown(
+    "replace", _bought({"n": 1, "props": {"k": [2]}}),
+    f"CASE WHEN {_BOUGHT} THEN 'n,props' ELSE 'event_type,' || {_HAS} || 'n,props,user_id' END",
+    f"CASE WHEN {_BOUGHT} THEN NULL ELSE props END", f"CASE WHEN {_BOUGHT} THEN 1 ELSE event_id END",
+    f"CASE WHEN {_BOUGHT} THEN NULL ELSE {_IDS} END", "NULL",
+)
+add(
+    "variant_distinct", lambda s, d: distinct(C.variant_events(s, d), "ids", variant="doc").select(F.try_variant_get("value", "$", "bigint").alias("value")),
+    "SELECT DISTINCT unnest([user_id, event_id]) AS value FROM events WHERE event_id % 3 = 0",
+)
