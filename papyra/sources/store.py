@@ -7,6 +7,10 @@ if another writer has taken the number; the statement then runs again on the new
 
 An update or a delete rewrites only the data files that hold a matching document; the others stay in the
 next version as they are. Old files stay readable for running queries until ``vacuum``.
+
+Inserted documents are clustered by id. The entries of an index are files sorted by key, written for the new data
+files of a version only; each entry names its data file. A find, an update or a delete with a condition on indexed
+paths reads the data files that the entries name, and new keys of a unique index are compared with the entries.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ import json
 import uuid
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,14 +28,16 @@ from pyspark.sql import types as T
 from papyra.errors import DocumentError
 from papyra.operators import find as finding
 from papyra.operators import update as updating
-from papyra.operators.index import Index, entries, usable, violations
+from papyra.operators.index import Index, entries, lookups, repeated, usable
 from papyra.plans.ast import describe
+from papyra.plans.compile import condition
 from papyra.plans.parser import parse
 from papyra.plans.simplify import simplify
 from papyra.sources.files import Files
 
 ID = "_id"
 RETRIES = 20
+_FILE = "__papyra_file"
 _ID_SCHEMA = T.StructType([T.StructField(ID, T.StringType())])
 
 
@@ -46,16 +53,19 @@ class Version:
     indexes: list[Index] = field(default_factory=list)
     #: The newest batch of every stream that was inserted.
     batches: dict[str, int] = field(default_factory=dict)
+    #: By index the folders of its entries, each with the data files that it covers.
+    entries: dict[str, dict[str, list[str]]] = field(default_factory=dict)
 
     def text(self) -> str:
         indexes = [[i.name, list(map(list, i.fields)), i.unique, i.status] for i in self.indexes]
-        return json.dumps({"files": self.files, "schema": self.schema.jsonValue(), "indexes": indexes, "batches": self.batches})
+        rest = {"indexes": indexes, "batches": self.batches, "entries": self.entries}
+        return json.dumps({"files": self.files, "schema": self.schema.jsonValue(), **rest})
 
     @staticmethod
     def read(number: int, text: str) -> Version:
         x = json.loads(text)
         indexes = [Index(n, tuple((p, d) for p, d in f), *more) for n, f, *more in x["indexes"]]
-        return Version(number, x["files"], T.StructType.fromJson(x["schema"]), indexes, x.get("batches", {}))
+        return Version(number, x["files"], T.StructType.fromJson(x["schema"]), indexes, x.get("batches", {}), x.get("entries", {}))
 
 
 def new_id() -> Column:
@@ -83,7 +93,12 @@ class Collection:
     def _publish(
         self, old: Version, files: list[str], schema: T.StructType, indexes: list[Index] | None = None, batch: dict | None = None
     ) -> Version:
-        new = Version(old.number + 1, files, schema, old.indexes if indexes is None else indexes, old.batches | (batch or {}))
+        """The next version; indexes that are ready get the entries of data files that have none."""
+        indexes = old.indexes if indexes is None else indexes
+        new = Version(old.number + 1, files, schema, indexes, old.batches | (batch or {}))
+        for index in indexes:
+            if index.status == "ready":
+                new.entries[index.name] = self._index(new, index, self._live(old, index, new))
         self.files.make(f"{self.path}/versions")
         if not self.files.create(f"{self.path}/versions/{new.number:012d}.json", new.text()):
             raise Conflict
@@ -102,11 +117,13 @@ class Collection:
             self._publish(Version(), [], _ID_SCHEMA)
 
     def vacuum(self) -> int:
-        """Remove data files that the newest version does not name; the number removed."""
-        held, gone = {f.split("/")[0] for f in self.version().files}, 0
-        for folder in self.files.names(f"{self.path}/data"):
-            if folder not in held:
-                gone += self.files.delete(f"{self.path}/data/{folder}")
+        """Remove data and entries that the newest version does not name; the number of folders removed."""
+        version, gone = self.version(), 0
+        held = {"data": {f.split("/")[0] for f in version.files}, "entries": {f for sets in version.entries.values() for f in sets}}
+        for kind, kept in held.items():
+            for folder in self.files.names(f"{self.path}/{kind}"):
+                if folder not in kept:
+                    gone += self.files.delete(f"{self.path}/{kind}/{folder}")
         return gone
 
     # --- reading ------------------------------------------------------------------------------
@@ -120,21 +137,41 @@ class Collection:
     def frame(self) -> DataFrame:
         return self._frame(self.version())
 
+    def _candidates(self, version: Version, query) -> list[str]:
+        """The data files that can hold a match: those that entries name, or all of them."""
+        query, _ = finding.unwrap(query)
+        if len(version.files) < 2 or not version.indexes or not query:
+            return version.files
+        found = lookups(simplify(parse(query, top=True)), version.indexes, self._frame(version, []), ID)
+        if found is None:
+            return version.files
+        named: set[str] = set()
+        for index, wanted in found:
+            held = self._entries(version, index, version.entries[index.name])
+            # At most one row for each data file of the version and of those that it has replaced.
+            named |= {r["file"] for r in held.filter(condition(simplify(wanted), held).pos).select("file").distinct().collect()}
+        return [f for f in version.files if f in named]
+
+    def _matches(self, version: Version, query) -> DataFrame:
+        return self._frame(version, self._candidates(version, query))
+
     def find(self, query=None, projection=None, sort=None, skip: int = 0, limit: int = 0) -> DataFrame:
-        return finding.find(self.frame(), query, projection, sort, skip, limit, ID)
+        return finding.find(self._matches(self.version(), query), query, projection, sort, skip, limit, ID)
 
     def count(self, query=None, skip: int = 0, limit: int = 0) -> int:
-        return finding.count(self.frame(), query, skip, limit).first()["n"]
+        return finding.count(self._matches(self.version(), query), query, skip, limit).first()["n"]
 
     def distinct(self, path: str, query=None) -> DataFrame:
-        return finding.distinct(self.frame(), path, query)
+        return finding.distinct(self._matches(self.version(), query), path, query)
 
     def explain(self, query=None) -> dict:
-        """What a find would do: the predicate, the access, and Spark's physical plan."""
+        """What a find does: the predicate, the access, the data files read of all, and Spark's physical plan."""
         version = self.version()
         node = simplify(parse(query, top=True))
-        plan = self.find(query)._jdf.queryExecution().executedPlan().toString()
-        return {"predicate": describe(node), "access": usable(node, version.indexes, ID), "plan": plan}
+        files = self._candidates(version, query)
+        plan = finding.find(self._frame(version, files), query, id_field=ID)._jdf.queryExecution().executedPlan().toString()
+        access = usable(node, version.indexes, ID, self._frame(version, []))
+        return {"predicate": describe(node), "access": access, "files": [len(files), len(version.files)], "plan": plan}
 
     # --- writing ------------------------------------------------------------------------------
 
@@ -143,20 +180,9 @@ class Collection:
         df.write.parquet(f"{self.path}/data/{folder}")
         return [f"{folder}/{n}" for n in self.files.names(f"{self.path}/data/{folder}") if n.endswith(".parquet")]
 
-    def _check(self, df: DataFrame, indexes: list[Index], duplicates: bool = True) -> None:
-        if duplicates and df.groupBy(ID).agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
+    def _check_ids(self, df: DataFrame) -> None:
+        if df.groupBy(ID).agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
             raise DocumentError(11000, ID)
-        for index in indexes:
-            try:
-                found = index.unique and violations(df, index, ID).limit(1).count()
-                if not index.unique and len(index.fields) > 1:
-                    entries(df, index, ID).agg(F.max("k0")).collect()  # the bound on entries holds for every document
-            except Exception as e:
-                if "29992" in str(e):
-                    raise DocumentError(29992, index.name) from None
-                raise
-            if found:
-                raise DocumentError(11000, index.name)
 
     def insert(self, documents: DataFrame | list[dict], batch: tuple[str, int] | None = None) -> int:
         """Add documents, all or none; a document without an id gets one.
@@ -199,15 +225,15 @@ class Collection:
         schema = documents.schema if not old.files else updating.wider(old.schema, documents.schema)
         # Ids that were made here have to be the ones that are checked, so the rows are written first.
         fresh = documents.select(*[_field(documents, f) for f in schema])
-        added = self._write(fresh)
+        # Clustered by id, so that a lookup by id is told most row groups by their statistics.
+        added = self._write(fresh.repartitionByRange(ID).sortWithinPartitions(ID))
         now = Version(old.number, old.files + added, schema, old.indexes)
         new_rows = self._frame(now, added)
-        self._check(new_rows, [])
+        self._check_ids(new_rows)
         if old.files:
             held = self._frame(now, old.files).select(ID)
             if held.join(new_rows.select(ID), ID, "left_semi").limit(1).count():
                 raise DocumentError(11000, ID)
-        self._check(self._frame(now), old.indexes, False)
         return self._publish(old, old.files + added, schema, batch=batch), new_rows.count()
 
     def _first(self, df: DataFrame, hit: Column, limit: int) -> Column:
@@ -219,7 +245,7 @@ class Collection:
 
     def _rewrite(self, old: Version, query, limit: int, change) -> tuple[Version, int]:
         """The version with ``change(rows, hit)`` in the place of the files that hold a matching document, and the matches."""
-        df = self._frame(old)
+        df = self._matches(old, query)
         hit = F.coalesce(finding.matching(df, query).pos, F.lit(False))
         hit = self._first(df, hit, limit)
         # As many rows as there are data files at most.
@@ -231,11 +257,7 @@ class Collection:
         rows = self._frame(old, [f for f in old.files if f in named])
         new = change(rows, hit)
         kept = [f for f in old.files if f not in named]
-        schema = new.schema
-        files = kept + self._write(new)
-        now = Version(old.number, files, schema, old.indexes)
-        self._check(self._frame(now), old.indexes, False)
-        return self._publish(old, files, schema), n
+        return self._publish(old, kept + self._write(new.sortWithinPartitions(ID)), new.schema), n
 
     def update(self, query: Mapping, update: Mapping, upsert: bool = False, multi: bool = False) -> dict:
         """Update the matching documents, or the one with the smallest id; insert if none and ``upsert``."""
@@ -299,7 +321,7 @@ class Collection:
             updating.validate(update, ID)
 
         def statement(old: Version):
-            rows = self._frame(old)
+            rows = self._matches(old, query)
             read = lambda version, value: finding.find(self._frame(version), {ID: value}, fields).first()
             first = finding.find(rows, query, sort={ID: 1}, limit=1).select(ID).first()
             if first is None:
@@ -318,7 +340,10 @@ class Collection:
     # --- indexes ------------------------------------------------------------------------------
 
     def create_index(self, spec: Mapping) -> bool:
-        """Add an index; ``False`` if there is one with the same key."""
+        """Add an index and write its entries; ``False`` if there is one with the same key.
+
+        Its status is ``building`` meanwhile; writers go on, and what they add is indexed before it is ``ready``.
+        """
         index = Index.of(spec, ID)
 
         def statement(old: Version):
@@ -326,24 +351,82 @@ class Collection:
                 return False
             if any(i.name == index.name for i in old.indexes):
                 raise DocumentError(29993, index.name)
-            # From here on writers hold to the index, while the documents that are there are checked.
             self._publish(old, old.files, old.schema, [*old.indexes, replace(index, status="building")])
             return True
 
-        def settle(old: Version, status: str | None):
-            kept = [replace(i, status=status) if i.name == index.name and status else i for i in old.indexes if status or i.name != index.name]
-            self._publish(old, old.files, old.schema, kept)
+        def give_up(old: Version):
+            self._publish(old, old.files, old.schema, [i for i in old.indexes if i.name != index.name])
+
+        built = Version()  # what is written so far; a try after another writer's version adds the rest
+
+        def settle(old: Version):
+            built.entries[index.name] = self._index(old, index, self._live(built, index, old))
+            built.schema = old.schema
+            ready = [index if i.name == index.name else i for i in old.indexes]
+            self._publish(replace(old, entries=old.entries | built.entries), old.files, old.schema, ready)
 
         if not self._retry(statement):
             return False
         try:
-            self._check(self.frame(), [index], False)
-        except DocumentError:
-            self._retry(lambda old: settle(old, None))
+            self._retry(settle)
+        except Exception:
+            self._retry(give_up)
             raise
-        self._retry(lambda old: settle(old, "ready"))
         return True
 
+    def _kind(self, version: Version, index: Index) -> str:
+        return entries(self._frame(version, []), index, ID).schema.simpleString()
+
+    def _live(self, old: Version, index: Index, new: Version) -> dict[str, list[str]]:
+        """The folders of entries that are still good in a new version.
+
+        All go if the type of a key has changed, and those of which most data files are gone.
+        """
+        if old.schema != new.schema and self._kind(old, index) != self._kind(new, index):
+            return {}
+        files = set(new.files)
+        return {folder: covered for folder, covered in old.entries.get(index.name, {}).items() if 2 * len(files.intersection(covered)) > len(covered)}
+
+    def _index(self, version: Version, index: Index, sets: dict[str, list[str]]) -> dict[str, list[str]]:
+        """``sets`` and a folder with the entries of all other data files; the keys of a unique index are checked."""
+        covered = {f for files in sets.values() for f in files}
+        rest = [f for f in version.files if f not in covered]
+        if not rest:
+            return sets
+        rows = self._frame(version, rest).withColumn(_FILE, F.substring_index(F.input_file_name(), "/", -2))
+        made = entries(rows, index, ID, (_FILE,)).withColumnRenamed(_FILE, "file")
+        folder = uuid.uuid4().hex
+        order = [*index.keys, "id"]  # with the id, so that a key of many documents is spread over tasks
+        try:
+            made.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{self.path}/entries/{folder}")
+        except Exception as e:
+            if "29992" in str(e):
+                raise DocumentError(29992, index.name) from None
+            raise
+        more = {**sets, folder: rest}
+        if index.unique:
+            fresh = self._entries(version, index, {folder: rest})
+            clash = repeated(fresh, index).limit(1).count()
+            if not clash and sets:
+                held, keys = self._entries(version, index, sets), fresh.select(*[F.col(k).alias(f"new_{k}") for k in index.keys]).distinct()
+                same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"new_{k}")) for k in index.keys])
+                clash = held.join(keys, same, "left_semi").limit(1).count()
+            if clash:
+                raise DocumentError(11000, index.name)
+        return more
+
+    def _entries(self, version: Version, index: Index, sets: dict[str, list[str]]) -> DataFrame:
+        """The entries of a version in these folders: keys, ``id`` and ``file``."""
+        kind = entries(self._frame(version, []), index, ID).schema.add("file", "string")
+        if not sets:
+            return self.spark.createDataFrame([], kind)
+        held = self.spark.read.schema(kind).parquet(*[f"{self.path}/entries/{f}" for f in sets])
+        files = set(version.files)
+        if all(files.issuperset(covered) for covered in sets.values()):
+            return held
+        live = self.spark.createDataFrame([(f,) for f in version.files], "file string")
+        return held.join(live, "file", "left_semi").select(*kind.names)
+
     def drop_index(self, which: str | Mapping) -> int:
         """Drop by name, by key, or all (``*``); the number dropped."""
 
@@ -365,7 +448,8 @@ class Collection:
 
     def index_entries(self, name: str) -> DataFrame:
         version = self.version()
-        return entries(self._frame(version), next(i for i in version.indexes if i.name == name), ID)
+        index = next(i for i in version.indexes if i.name == name)
+        return self._entries(version, index, version.entries.get(name, {})).drop("file")
 
 
 def _filled(kind: T.DataType) -> T.DataType:
