@@ -616,6 +616,51 @@ add(
     " SELECT k0, count(*) AS n FROM e GROUP BY k0 HAVING count(DISTINCT id) > 1",
 )
 
+
+def _indexed(s: SparkSession, d: str, *keys: dict) -> Collection:
+    """All orders as a collection of one statement a status, so of several data files, with indexes."""
+    orders = C.load(s, d, "orders").withColumnRenamed("o_orderkey", "_id")
+    held = scratch(s)["orders"]
+    for status in ("F", "O", "P"):
+        held.insert(orders.filter(F.col("o_orderstatus") == status))
+    for n, key in enumerate(keys):
+        held.create_index({"key": key, "name": f"i{n}"})
+    return held
+
+
+def _index_scan(name: str, keys: list[dict], query: dict, where: str, access: str) -> None:
+    """A find through stored entries, and the access that explain names."""
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        held = _indexed(s, d, *keys)
+        return held.find(query).select(F.col("_id").alias("o_orderkey"), "o_totalprice", F.lit(held.explain(query)["access"]["type"]).alias("access"))
+
+    add(f"index_scan_{name}", run, f"SELECT o_orderkey, o_totalprice, '{access}' AS access FROM orders WHERE {where}")
+
+
+_index_scan("eq", [{"o_orderstatus": 1}], {"o_orderstatus": "P"}, "o_orderstatus = 'P'", "index scan")
+_index_scan("range", [{"o_totalprice": 1}], {"o_totalprice": {"$gte": 1000, "$lt": 50000}}, "o_totalprice >= 1000 AND o_totalprice < 50000", "index scan")
+_index_scan(
+    "compound", [{"o_orderstatus": 1, "o_totalprice": 1}], {"o_orderstatus": "F", "o_totalprice": {"$gt": 300000}}, "o_orderstatus = 'F' AND o_totalprice > 300000", "index scan",
+)
+_index_scan(
+    "union", [{"o_orderstatus": 1}, {"o_custkey": 1}], {"$or": [{"o_orderstatus": "P"}, {"o_custkey": {"$lt": 50}}]}, "o_orderstatus = 'P' OR o_custkey < 50", "union",
+)
+_index_scan("none", [{"o_orderstatus": 1}], {"o_orderstatus": {"$ne": "P"}}, "o_orderstatus <> 'P'", "table scan")
+
+
+def _indexed_writes(s: SparkSession, d: str) -> DataFrame:
+    held = _indexed(s, d, {"o_orderstatus": 1})
+    held.update({"o_orderstatus": "P"}, {"$set": {"o_orderstatus": "Q"}}, multi=True)
+    held.delete({"o_orderstatus": "F"})
+    return held.index_entries("i0")
+
+
+add(
+    "index_entries_after_writes", _indexed_writes,
+    "SELECT CASE WHEN o_orderstatus = 'P' THEN 'Q' ELSE o_orderstatus END AS k0, o_orderkey AS id FROM orders WHERE o_orderstatus <> 'F'",
+)
+
 # --- variant documents ------------------------------------------------------------------------
 
 

@@ -55,17 +55,39 @@ class Version:
     batches: dict[str, int] = field(default_factory=dict)
     #: By index the folders of its entries, each with the data files that it covers.
     entries: dict[str, dict[str, list[str]]] = field(default_factory=dict)
+    #: By data folder the schema, as JSON, to read it with, where a field has taken another type since it was written.
+    schemas: dict[str, str] = field(default_factory=dict)
 
     def text(self) -> str:
         indexes = [[i.name, list(map(list, i.fields)), i.unique, i.status] for i in self.indexes]
-        rest = {"indexes": indexes, "batches": self.batches, "entries": self.entries}
+        rest = {"indexes": indexes, "batches": self.batches, "entries": self.entries, "schemas": self.schemas}
         return json.dumps({"files": self.files, "schema": self.schema.jsonValue(), **rest})
 
     @staticmethod
     def read(number: int, text: str) -> Version:
         x = json.loads(text)
         indexes = [Index(n, tuple((p, d) for p, d in f), *more) for n, f, *more in x["indexes"]]
-        return Version(number, x["files"], T.StructType.fromJson(x["schema"]), indexes, x.get("batches", {}), x.get("entries", {}))
+        return Version(number, x["files"], T.StructType.fromJson(x["schema"]), indexes, x["batches"], x["entries"], x["schemas"])
+
+    def then(self, files: list[str], schema: T.StructType) -> Version:
+        """The next version, without entries; folders that a reader cannot read by the new schema keep theirs."""
+        new = Version(self.number + 1, files, schema, self.indexes, self.batches)
+        before, fits = {f.split("/")[0] for f in self.files}, _fits(self.schema, schema)
+        for folder in before.intersection(f.split("/")[0] for f in files):
+            if folder in self.schemas or not fits:
+                new.schemas[folder] = self.schemas.get(folder, self.schema.json())
+        return new
+
+
+def _fits(have: T.DataType, want: T.DataType) -> bool:
+    """Whether data of one type are read by another as they are: fields may come and go, none takes another type."""
+    if isinstance(have, T.StructType) and isinstance(want, T.StructType):
+        return all(_fits(f.dataType, want[f.name].dataType) for f in have if f.name in want.names)
+    if isinstance(have, T.ArrayType) and isinstance(want, T.ArrayType):
+        return _fits(have.elementType, want.elementType)
+    if isinstance(have, T.MapType) and isinstance(want, T.MapType):
+        return _fits(have.keyType, want.keyType) and _fits(have.valueType, want.valueType)
+    return have == want
 
 
 def new_id() -> Column:
@@ -94,9 +116,9 @@ class Collection:
         self, old: Version, files: list[str], schema: T.StructType, indexes: list[Index] | None = None, batch: dict | None = None
     ) -> Version:
         """The next version; indexes that are ready get the entries of data files that have none."""
-        indexes = old.indexes if indexes is None else indexes
-        new = Version(old.number + 1, files, schema, indexes, old.batches | (batch or {}))
-        for index in indexes:
+        new = old.then(files, schema)
+        new.indexes, new.batches = old.indexes if indexes is None else indexes, old.batches | (batch or {})
+        for index in new.indexes:
             if index.status == "ready":
                 new.entries[index.name] = self._index(new, index, self._live(old, index, new))
         self.files.make(f"{self.path}/versions")
@@ -132,7 +154,14 @@ class Collection:
         files = version.files if files is None else list(files)
         if not files:
             return self.spark.createDataFrame([], version.schema)
-        return self.spark.read.schema(version.schema).parquet(*[f"{self.path}/data/{f}" for f in files])
+        parts: dict[str | None, list[str]] = {}
+        for f in files:
+            parts.setdefault(version.schemas.get(f.split("/")[0]), []).append(f"{self.path}/data/{f}")
+        frames = []
+        for own, paths in parts.items():
+            df = self.spark.read.schema(T.StructType.fromJson(json.loads(own)) if own else version.schema).parquet(*paths)
+            frames.append(df.select(*[_field(df, f) for f in version.schema]) if own else df)
+        return reduce(DataFrame.unionByName, frames)
 
     def frame(self) -> DataFrame:
         return self._frame(self.version())
@@ -227,7 +256,7 @@ class Collection:
         fresh = documents.select(*[_field(documents, f) for f in schema])
         # Clustered by id, so that a lookup by id is told most row groups by their statistics.
         added = self._write(fresh.repartitionByRange(ID).sortWithinPartitions(ID))
-        now = Version(old.number, old.files + added, schema, old.indexes)
+        now = old.then(old.files + added, schema)
         new_rows = self._frame(now, added)
         self._check_ids(new_rows)
         if old.files:

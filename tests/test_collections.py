@@ -115,3 +115,20 @@ def test_objects_sort_field_by_field(spark):
     assert [r["id"] for r in find(df, sort={"a": -1}).collect()] == [2, 1, 3]
     maps = df.withColumn("m", F.create_map(F.lit("x"), "id"))
     assert [r["id"] for r in find(maps, sort={"m": -1}).collect()] == [3, 2, 1]
+
+
+def test_a_field_takes_a_wider_type_than_older_files_have(spark, db):
+    c = db["wide_types"]
+    c.insert([{"_id": 1, "n": 2**40, "a": [{"x": 2**40}]}, {"_id": 5, "n": 4, "a": []}])
+    c.create_index({"key": {"n": 1}, "name": "n", "unique": True})
+    c.insert([{"_id": 2, "n": 1.5, "a": [{"x": 0.5, "y": "q"}]}])
+    c.insert([{"_id": 2.5, "m": 1}])
+    assert [(r["_id"], r["n"]) for r in c.find(sort={"_id": 1}).collect()] == [(1.0, 2.0**40), (2.0, 1.5), (2.5, None), (5.0, 4.0)]
+    assert c.find({"_id": 1}).first()["a"][0]["x"] == 2.0**40 and c.count({"n": {"$gt": 1}}) == 3
+    with pytest.raises(DocumentError):
+        c.insert([{"_id": 7, "n": 4}])
+    assert len(c.version().schemas) == 2  # the folders of the first two statements
+    assert c.update({"n": {"$gte": 4}}, {"$set": {"n": 0.25}})["n"] == 1 and c.delete({"n": 1.5}) == 1
+    assert not c.version().schemas and sorted(r["n"] or 0 for r in c.find().collect()) == [0, 0.25, 4]
+    c.update({}, {"$inc": {"k": 1}}, multi=True)
+    assert c.count({"k": 1}) == 3
