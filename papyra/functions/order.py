@@ -38,8 +38,7 @@ def sort_keys(col: Column, dtype: T.DataType, direction: int) -> list[Column]:
     return [col.asc_nulls_first() if direction > 0 else col.desc_nulls_last()]
 
 
-def variant_sort_keys(v: Column, direction: int) -> list[Column]:
-    """The same for a VARIANT value: the kind first, then the value within its kind."""
+def _variant_keys(v: Column) -> tuple[Column, Column, Column]:
     kind = F.schema_of_variant(v)
     code = (
         F.when(kind.isNull() | (kind == "VOID"), 20)
@@ -49,4 +48,16 @@ def variant_sort_keys(v: Column, direction: int) -> list[Column]:
     )
     number = F.when(code == 30, F.try_variant_get(v, "$", "double"))
     text = F.when(code == 40, F.try_variant_get(v, "$", "string")).when(code > 40, F.to_json(v))
-    return [k.asc_nulls_first() if direction > 0 else k.desc_nulls_last() for k in (code, number, text)]
+    return code, number, text
+
+
+def variant_sort_keys(v: Column, direction: int) -> list[Column]:
+    """The same for a VARIANT value: the kind first, then the value within its kind."""
+    return [k.asc_nulls_first() if direction > 0 else k.desc_nulls_last() for k in _variant_keys(v)]
+
+
+def variant_rank(v: Column) -> Column:
+    """A struct by which two VARIANT values are compared; whole numbers exactly, also beyond what a double tells apart."""
+    code, number, text = _variant_keys(v)
+    whole = F.when(code == 30, F.coalesce(F.when(F.schema_of_variant(v) == "BIGINT", F.try_variant_get(v, "$", "bigint")), number.try_cast("bigint")))
+    return F.struct(code.alias("kind"), number.alias("number"), whole.alias("whole"), text.alias("text"))

@@ -26,6 +26,11 @@ def field(v: Column, name: str) -> Column:
     return F.try_element_at(fields(v), F.lit(name))
 
 
+def part(v: Column, name: str) -> Column:
+    """A field of an object, or by a number an element of an array."""
+    return F.coalesce(field(v, name), F.get(elements(v), F.lit(int(name)))) if name.isdigit() else field(v, name)
+
+
 def _none() -> Column:
     return F.expr("cast(array() as array<variant>)")
 
@@ -97,12 +102,18 @@ def _exclude_below(v: Column, tree: dict, depth: int) -> Column:
 def put(v: Column, parts: list[str], make) -> Column:
     """The object with ``make(old value)`` at a path, objects made on the way; a NULL takes the field away.
 
-    A value on the way that is no object stays as it is.
+    A number leads to a place of an array, which grows with nulls up to it; there a NULL becomes a null. Another value
+    on the way stays as it is.
     """
     head, rest = parts[0], parts[1:]
-    old = field(v, head)
+    old = part(v, head)
     new = put(old, rest, make) if rest else make(old)
     own = F.coalesce(fields(v), F.expr("cast(map() as map<string,variant>)"))
     others = F.map_filter(own, lambda n, _: n != head)
     changed = F.map_concat(others, F.map_filter(F.create_map(F.lit(head), new), lambda _, x: x.isNotNull()))
-    return F.when(v.isNull() | fields(v).isNotNull(), F.to_variant_object(changed)).otherwise(v)
+    done = F.when(v.isNull() | fields(v).isNotNull(), F.to_variant_object(changed))
+    if head.isdigit():
+        k, held, null = int(head), elements(v), F.parse_json(F.lit("null"))
+        grown = F.concat(held, F.array_repeat(null, F.greatest(F.lit(k + 1) - F.size(held), F.lit(0))))
+        done = done.when(held.isNotNull(), F.to_variant_object(F.transform(grown, lambda x, i: F.when(i == k, F.coalesce(new, null)).otherwise(x))))
+    return done.otherwise(v)

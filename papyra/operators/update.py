@@ -7,8 +7,6 @@ a field that is unset or moved away stays in the schema and is NULL, which is th
 
 from __future__ import annotations
 
-import datetime
-import json
 import re
 from collections.abc import Callable, Mapping
 
@@ -18,6 +16,7 @@ from pyspark.sql import types as T
 
 from papyra.errors import DocumentError
 from papyra.functions import variants
+from papyra.operators import variant_leaves
 from papyra.plans.compile import INTEGERS, NUMBERS, Cond, literal, test
 from papyra.plans.ast import Eq, In
 
@@ -528,40 +527,14 @@ def seed(selector: Mapping) -> dict:
 # --- VARIANT documents ------------------------------------------------------------------------
 
 
-def _variant_literal(value) -> Column:
-    if isinstance(value, datetime.date | bytes | bytearray):
-        return F.lit(bytes(value) if isinstance(value, bytearray) else value).cast("variant")
-    return F.parse_json(F.lit(json.dumps(value, ensure_ascii=False)))
-
-
-def _variant_inc(value) -> Callable:
-    if isinstance(value, bool) or not isinstance(value, int | float):
-        raise DocumentError(10152)
-
-    def make(old: Column) -> Column:
-        kind = F.schema_of_variant(old)
-        number = kind.isin("DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
-        double = (F.try_variant_get(old, "$", "double") + F.lit(float(value))).cast("variant")
-        whole = double
-        if isinstance(value, int):  # starts again at the other end, like typed longs
-            big = F.try_variant_get(old, "$", "bigint")
-            half, turn = (F.lit(str(2**k)).cast("decimal(21,0)") for k in (63, 64))
-            around = F.pmod(big.cast("decimal(21,0)") + F.lit(str(value)).cast("decimal(21,0)") + half, turn) - half
-            whole = F.coalesce(F.try_add(big, F.lit(str(value)).try_cast("bigint")), around.try_cast("bigint")).cast("variant")
-        wrong = F.raise_error(F.lit("10140: $inc needs a number")).cast("variant")
-        return F.when(old.isNull(), _variant_literal(value)).when(kind == "BIGINT", whole).when(number, double).otherwise(wrong)
-
-    return make
-
-
 def apply_variant_update(df: DataFrame, hit: Column, update: Mapping, variant: str, id_field: str = "_id") -> DataFrame:
     """The VARIANT documents of a column after an update of the rows for which ``hit`` (never NULL) holds.
 
-    ``$set``, ``$unset``, ``$inc``, ``$rename`` and replacement; a field may change its kind. Paths lead through objects: a
-    value on the way that is no object stays as it is. Other operators need typed documents (error 20000).
+    All operators and replacement; a field may change its kind. Paths lead through objects and, by numbers, to places of
+    arrays, which grow with nulls up to the place; another value on the way stays as it is.
     """
     if not is_operator_update(update):
-        new = _variant_literal({k: v for k, v in update.items() if k != id_field})
+        new = variant_leaves.literal({k: v for k, v in update.items() if k != id_field})
         keep = variants.field(F.col(f"`{variant}`"), id_field)
         own = variants.put(new, [id_field], lambda _: keep)
     else:
@@ -570,22 +543,20 @@ def apply_variant_update(df: DataFrame, hit: Column, update: Mapping, variant: s
         for op, fields in update.items():
             for path, value in fields.items():
                 parts = path.split(".")
-                if op == "$set":
-                    own = variants.put(own, parts, lambda _, value=value: _variant_literal(value))
-                elif op == "$inc":
-                    own = variants.put(own, parts, _variant_inc(value))
-                elif op == "$unset":
+                if op == "$unset":
                     own = _variant_unset(own, parts)
                 elif op == "$rename":
                     own = _variant_rename(own, parts, value.split("."))
-                else:
-                    raise DocumentError(20000, f"{op} of a VARIANT document")
+                elif op != "$setOnInsert":  # which leaves documents that are there as they are
+                    leaf, creates = variant_leaves.LEAVES[op]
+                    new = variants.put(own, parts, leaf(value))
+                    own = new if creates else F.when(_variant_there(own, parts).isNull(), own).otherwise(new)
     return df.withColumn(variant, F.when(hit, own).otherwise(F.col(f"`{variant}`")))
 
 
 def _variant_there(v: Column, parts: list[str]) -> Column:
     for p in parts:
-        v = variants.field(v, p)
+        v = variants.part(v, p)
     return v
 
 

@@ -782,6 +782,20 @@ _variant_shown(
     f"CASE WHEN {_BOUGHT} THEN NULL ELSE props END", f"CASE WHEN {_BOUGHT} THEN 1 ELSE event_id END",
     f"CASE WHEN {_BOUGHT} THEN NULL ELSE {_IDS} END", "NULL",
 )
+_variant_shown(
+    "update_numbers", _bought({"$mul": {"props.k": 3}, "$max": {"n": 500}, "$bit": {"user_id": {"and": 0}}}),
+    f"'event_type,' || {_HAS} || 'n,props,user_id'", f"CASE WHEN {_BOUGHT} THEN coalesce(props, 0) * 3 ELSE props END",
+    f"CASE WHEN {_BOUGHT} THEN greatest(event_id, 500) ELSE event_id END", _IDS, "NULL",
+)
+_variant_shown(
+    "update_push", _bought({"$push": {"ids": {"$each": ["x", 7], "$slice": -3}}}),
+    f"'event_type,' || CASE WHEN {_BOUGHT} THEN 'ids,' ELSE {_HAS} END || 'n,props,user_id'", "props", "event_id",
+    f"""CASE WHEN NOT {_BOUGHT} THEN {_IDS} WHEN event_id % 3 = 0 THEN '[' || event_id || ',"x",7]' ELSE '["x",7]' END""", "NULL",
+)
+_variant_shown(
+    "update_pop", _bought({"$pop": {"ids": -1}, "$setOnInsert": {"never": 1}}), f"'event_type,' || {_HAS} || 'n,props,user_id'", "props", "event_id",
+    f"CASE WHEN {_BOUGHT} AND event_id % 3 = 0 THEN '[' || event_id || ']' ELSE {_IDS} END", "NULL",
+)
 add(
     "variant_distinct", lambda s, d: distinct(C.variant_events(s, d), "ids", variant="doc").select(F.try_variant_get("value", "$", "bigint").alias("value")),
     "SELECT DISTINCT unnest([user_id, event_id]) AS value FROM events WHERE event_id % 3 = 0",

@@ -66,5 +66,58 @@ def test_increments_at_the_ends_and_of_other_kinds(spark):
     assert [d["v"] for d in shown(apply_variant_update(docs, F.lit(True), {"$inc": {"v": 1}}, "doc"))] == [-(2**63), 2.5]
     with pytest.raises(Exception, match="10140"):
         shown(apply_variant_update(frame(spark, '{"v":"x"}'), F.lit(True), {"$inc": {"v": 1}}, "doc"))
+    with pytest.raises(Exception, match="10141"):
+        shown(apply_variant_update(docs, F.lit(True), {"$push": {"v": 1}}, "doc"))
     with pytest.raises(DocumentError):
-        apply_variant_update(docs, F.lit(True), {"$push": {"v": 1}}, "doc")
+        apply_variant_update(docs, F.lit(True), {"$push": {"v": {"$each": [1], "$sort": {"a": 1}}}}, "doc")
+
+
+@pytest.mark.parametrize(
+    ("doc", "update", "want"),
+    [
+        ({"v": 6}, {"$mul": {"v": 7}}, {"v": 42}),
+        ({"v": 2**62 + 1}, {"$mul": {"v": 4}}, {"v": 4}),
+        ({"v": -(2**63)}, {"$inc": {"v": -1}}, {"v": 2**63 - 1}),
+        ({"v": 1.5}, {"$mul": {"v": 2}}, {"v": 3.0}),
+        ({}, {"$mul": {"v": 2}, "$inc": {"w": 3}}, {"v": 0, "w": 3}),
+        ({"v": 2**40 + 6}, {"$bit": {"v": {"or": 1}}}, {"v": 7}),
+        ({}, {"$bit": {"v": {"xor": 5}}}, {"v": 5}),
+        ({"v": 5}, {"$min": {"v": "x"}, "$max": {"w": 1}}, {"v": 5, "w": 1}),
+        ({"v": 5}, {"$max": {"v": "x"}}, {"v": "x"}),
+        ({"v": 9007199254740992}, {"$max": {"v": 9007199254740993}}, {"v": 9007199254740993}),
+        ({"v": None}, {"$max": {"v": 1}}, {"v": 1}),
+        ({"v": [1]}, {"$push": {"v": {"a": 1}}}, {"v": [1, {"a": 1}]}),
+        ({}, {"$push": {"a.b": {"$each": [1, "x", None]}}}, {"a": {"b": [1, "x", None]}}),
+        ({"v": [1, 2, 3]}, {"$push": {"v": {"$each": [4], "$slice": -2}}}, {"v": [3, 4]}),
+        ({"v": [1, 2, 3]}, {"$push": {"v": {"$each": [4], "$slice": 0}}}, {"v": []}),
+        ({"v": [{"a": 2}, {"a": "s"}, 7]}, {"$push": {"v": {"$each": [{"a": 1}], "$slice": 3, "$sort": {"a": -1}}}}, {"v": [{"a": "s"}, {"a": 2}, {"a": 1}]}),
+        ({"v": [1, "a"]}, {"$addToSet": {"v": {"$each": [1.0, "b", "b", {"x": 1, "y": 2}]}}}, {"v": [1, "a", "b", {"x": 1, "y": 2}]}),
+        ({"v": [{"y": 2, "x": 1}]}, {"$addToSet": {"v": {"x": 1, "y": 2}}}, {"v": [{"x": 1, "y": 2}]}),
+        ({}, {"$addToSet": {"v": 1}}, {"v": [1]}),
+        ({"v": [1, "1", 1.0, [1]]}, {"$pull": {"v": 1}}, {"v": ["1", [1]]}),
+        ({"v": [1, None, 2]}, {"$pullAll": {"v": [None, 2]}}, {"v": [1]}),
+        ({"v": [1, 2]}, {"$pop": {"v": 1}}, {"v": [1]}),
+        ({"v": [1, 2]}, {"$pop": {"v": -1}}, {"v": [2]}),
+        ({"v": []}, {"$pop": {"v": 1}, "$pull": {"a.b": 1}}, {"v": []}),
+        ({"v": [1, {"x": 1}]}, {"$set": {"v.3": "d", "v.1.x": 2}}, {"v": [1, {"x": 2}, None, "d"]}),
+        ({"v": [1, 2]}, {"$unset": {"v.0": "", "v.7": ""}}, {"v": [None, 2]}),
+        ({"v": [5]}, {"$inc": {"v.0": 1}, "$setOnInsert": {"z": 1}}, {"v": [6]}),
+    ],
+)
+def test_more_updates(spark, doc, update, want):
+    assert shown(apply_variant_update(frame(spark, json.dumps(doc)), F.lit(True), update, "doc")) == [want]
+
+
+@pytest.mark.parametrize(
+    ("doc", "update", "code"),
+    [({"v": "x"}, {"$mul": {"v": 1}}, "16837"), ({"v": 1.5}, {"$bit": {"v": {"or": 1}}}, "10138"), ({"v": None}, {"$push": {"v": 1}}, "10141"),
+     ({"v": 1}, {"$pop": {"v": 1}}, "10143"), ({"v": {}}, {"$pull": {"v": 1}}, "10142"), ({"v": 1}, {"$addToSet": {"v": 1}}, "12591")],
+)
+def test_updates_of_values_of_other_kinds(spark, doc, update, code):
+    with pytest.raises(Exception, match=code):
+        shown(apply_variant_update(frame(spark, json.dumps(doc)), F.lit(True), update, "doc"))
+
+
+def test_the_current_date(spark):
+    new = apply_variant_update(frame(spark, "{}"), F.lit(True), {"$currentDate": {"t": True}}, "doc")
+    assert new.select(F.schema_of_variant(F.try_variant_get("doc", "$.t", "variant"))).first()[0].startswith("TIMESTAMP")
