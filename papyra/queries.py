@@ -16,6 +16,7 @@ from papyra.operators.find import Cursor, count, distinct, find, match, matching
 from papyra.operators.index import Index, entries, violations
 from papyra.operators.update import apply_update, apply_variant_update
 from papyra.session import checkpoint_dir, remove_at_exit
+from papyra.sources.mixed import MixedCollection
 from papyra.sources.store import Collection, Database
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -800,3 +801,42 @@ add(
     "variant_distinct", lambda s, d: distinct(C.variant_events(s, d), "ids", variant="doc").select(F.try_variant_get("value", "$", "bigint").alias("value")),
     "SELECT DISTINCT unnest([user_id, event_id]) AS value FROM events WHERE event_id % 3 = 0",
 )
+
+# --- collections of documents of any shape ----------------------------------------------------
+
+
+def _mixed(name: str, statement: Callable[[MixedCollection], DataFrame | None], sql: str) -> None:
+    """Nations whose ``v`` is a number in regions of even keys and a text in the others, after a statement, or what it finds."""
+
+    def run(s: SparkSession, d: str) -> DataFrame:
+        db = scratch(s)
+        held = MixedCollection(s, db.root, db.name, "nation")
+        v = F.when(F.col("n_regionkey") % 2 == 0, F.col("n_regionkey").cast("variant")).otherwise(F.col("n_name").cast("variant"))
+        held.insert(C.load(s, d, "nation").select(F.to_variant_object(F.struct(F.col("n_nationkey").alias("_id"), v.alias("v"))).alias("doc")))
+        found = statement(held)
+        found = found if isinstance(found, DataFrame) else held.find()
+        get = lambda place, kind: F.try_variant_get("doc", place, kind)
+        return found.select(get("$._id", "int").alias("n_nationkey"), F.to_json(get("$.v", "variant")).alias("v"), F.to_json(get("$.t", "variant")).alias("t"))
+
+    whole = "nat AS (SELECT n_nationkey, n_regionkey, CASE WHEN n_regionkey % 2 = 0 THEN CAST(n_regionkey AS VARCHAR) ELSE '\"' || n_name || '\"' END AS v FROM nation)"
+    add(f"mixed_{name}", run, f"WITH {whole} {sql}")
+
+
+_mixed("find", lambda c: c.find({"v": {"$gte": 2}}), "SELECT n_nationkey, v, NULL::VARCHAR AS t FROM nat WHERE n_regionkey IN (2, 4)")
+_mixed("lookup", lambda c: c.find({"_id": 7.0}), "SELECT n_nationkey, v, NULL::VARCHAR AS t FROM nat WHERE n_nationkey = 7")
+_mixed(
+    "update", lambda c: c.update({"v": {"$type": 2}}, {"$set": {"v": {"k": [1]}}, "$push": {"t": "was text"}}, multi=True),
+    """SELECT n_nationkey, CASE WHEN n_regionkey % 2 = 0 THEN v ELSE '{"k":[1]}' END AS v, CASE WHEN n_regionkey % 2 <> 0 THEN '["was text"]' END AS t FROM nat""",
+)
+_mixed(
+    "delete_one", lambda c: c.delete({"v": {"$type": 2}}, 1),
+    "SELECT n_nationkey, v, NULL::VARCHAR AS t FROM nat WHERE n_nationkey <> (SELECT min(n_nationkey) FROM nat WHERE n_regionkey % 2 <> 0)",
+)
+_mixed(
+    "upsert", lambda c: c.update({"_id": 500, "v": None}, {"$setOnInsert": {"t": [1, "x"]}}, upsert=True),
+    """SELECT n_nationkey, v, NULL::VARCHAR AS t FROM nat UNION ALL SELECT 500, 'null', '[1,"x"]'""",
+)
+_mixed(
+    "find_and_modify", lambda c: c.find_and_modify({"v": 2}, {"$max": {"v": "text is larger"}}) and None,
+    """SELECT n_nationkey, CASE WHEN n_nationkey = (SELECT min(n_nationkey) FROM nat WHERE n_regionkey = 2) THEN '"text is larger"' ELSE v END AS v, NULL::VARCHAR AS t FROM nat""",
+)

@@ -96,6 +96,9 @@ def new_id() -> Column:
 
 
 class Collection:
+    #: The column that tells documents apart, the one that holds whole documents if there is one, and the schema of no documents.
+    key, variant, empty = ID, None, _ID_SCHEMA
+
     def __init__(self, spark: SparkSession, root: str, database: str, name: str):
         self.spark, self.database, self.name = spark, database, name
         self.path = f"{root}/{database}/{name}"
@@ -109,7 +112,7 @@ class Collection:
     def version(self) -> Version:
         names = [n for n in self.files.names(f"{self.path}/versions") if n.endswith(".json")]
         if not names:
-            return Version()
+            return Version(schema=self.empty)
         return Version.read(int(names[-1][:-5]), self.files.read(f"{self.path}/versions/{names[-1]}"))
 
     def _publish(
@@ -136,7 +139,7 @@ class Collection:
 
     def create(self) -> None:
         if not self.exists():
-            self._publish(Version(), [], _ID_SCHEMA)
+            self._publish(Version(schema=self.empty), [], self.empty)
 
     def vacuum(self) -> int:
         """Remove data and entries that the newest version does not name; the number of folders removed."""
@@ -185,20 +188,23 @@ class Collection:
         return self._frame(version, self._candidates(version, query))
 
     def find(self, query=None, projection=None, sort=None, skip: int = 0, limit: int = 0) -> DataFrame:
-        return finding.find(self._matches(self.version(), query), query, projection, sort, skip, limit, ID)
+        return self._find(self._matches(self.version(), query), query, projection, sort, skip, limit)
+
+    def _find(self, df: DataFrame, query=None, projection=None, sort=None, skip: int = 0, limit: int = 0) -> DataFrame:
+        return finding.find(df, query, projection, sort, skip, limit, ID, self.variant)
 
     def count(self, query=None, skip: int = 0, limit: int = 0) -> int:
-        return finding.count(self._matches(self.version(), query), query, skip, limit).first()["n"]
+        return finding.count(self._matches(self.version(), query), query, skip, limit, self.variant).first()["n"]
 
     def distinct(self, path: str, query=None) -> DataFrame:
-        return finding.distinct(self._matches(self.version(), query), path, query)
+        return finding.distinct(self._matches(self.version(), query), path, query, self.variant)
 
     def explain(self, query=None) -> dict:
         """What a find does: the predicate, the access, the data files read of all, and Spark's physical plan."""
         version = self.version()
         node = simplify(parse(query, top=True))
         files = self._candidates(version, query)
-        plan = finding.find(self._frame(version, files), query, id_field=ID)._jdf.queryExecution().executedPlan().toString()
+        plan = self._find(self._frame(version, files), query)._jdf.queryExecution().executedPlan().toString()
         access = usable(node, version.indexes, ID, self._frame(version, []))
         return {"predicate": describe(node), "access": access, "files": [len(files), len(version.files)], "plan": plan}
 
@@ -210,7 +216,7 @@ class Collection:
         return [f"{folder}/{n}" for n in self.files.names(f"{self.path}/data/{folder}") if n.endswith(".parquet")]
 
     def _check_ids(self, df: DataFrame) -> None:
-        if df.groupBy(ID).agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
+        if df.groupBy(self.key).agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
             raise DocumentError(11000, ID)
 
     def insert(self, documents: DataFrame | list[dict], batch: tuple[str, int] | None = None) -> int:
@@ -255,13 +261,13 @@ class Collection:
         # Ids that were made here have to be the ones that are checked, so the rows are written first.
         fresh = documents.select(*[_field(documents, f) for f in schema])
         # Clustered by id, so that a lookup by id is told most row groups by their statistics.
-        added = self._write(fresh.repartitionByRange(ID).sortWithinPartitions(ID))
+        added = self._write(fresh.repartitionByRange(self.key).sortWithinPartitions(self.key))
         now = old.then(old.files + added, schema)
         new_rows = self._frame(now, added)
         self._check_ids(new_rows)
         if old.files:
-            held = self._frame(now, old.files).select(ID)
-            if held.join(new_rows.select(ID), ID, "left_semi").limit(1).count():
+            held = self._frame(now, old.files).select(self.key)
+            if held.join(new_rows.select(self.key), self.key, "left_semi").limit(1).count():
                 raise DocumentError(11000, ID)
         return self._publish(old, old.files + added, schema, batch=batch), new_rows.count()
 
@@ -269,13 +275,17 @@ class Collection:
         """The condition for the ``limit`` matching documents with the smallest ids."""
         if not limit:
             return hit
-        ids = [r[ID] for r in df.filter(hit).select(ID).orderBy(ID).limit(limit).collect()]
-        return F.col(ID).isin(ids) if ids else F.lit(False)
+        first = finding.sort_by(df.filter(hit), {ID: 1}, self.variant).limit(limit)
+        ids = [r[self.key] for r in first.select(self.key).collect()]
+        return F.col(self.key).isin(ids) if ids else F.lit(False)
+
+    def _changed(self, df: DataFrame, hit: Column, update: Mapping) -> DataFrame:
+        return updating.apply_update(df, hit, update, ID)
 
     def _rewrite(self, old: Version, query, limit: int, change) -> tuple[Version, int]:
         """The version with ``change(rows, hit)`` in the place of the files that hold a matching document, and the matches."""
         df = self._matches(old, query)
-        hit = F.coalesce(finding.matching(df, query).pos, F.lit(False))
+        hit = F.coalesce(finding.matching(df, query, self.variant).pos, F.lit(False))
         hit = self._first(df, hit, limit)
         # As many rows as there are data files at most.
         touched = df.filter(hit).groupBy(F.input_file_name().alias("f")).agg(F.count("*").alias("n")).collect()
@@ -286,7 +296,7 @@ class Collection:
         rows = self._frame(old, [f for f in old.files if f in named])
         new = change(rows, hit)
         kept = [f for f in old.files if f not in named]
-        return self._publish(old, kept + self._write(new.sortWithinPartitions(ID)), new.schema), n
+        return self._publish(old, kept + self._write(new.sortWithinPartitions(self.key)), new.schema), n
 
     def update(self, query: Mapping, update: Mapping, upsert: bool = False, multi: bool = False) -> dict:
         """Update the matching documents, or the one with the smallest id; insert if none and ``upsert``."""
@@ -297,7 +307,7 @@ class Collection:
             updating.validate(update, ID)
 
         def statement(old: Version):
-            _, n = self._rewrite(old, query, 0 if multi else 1, lambda df, hit: updating.apply_update(df, hit, update, ID))
+            _, n = self._rewrite(old, query, 0 if multi else 1, lambda df, hit: self._changed(df, hit, update))
             if n or not upsert:
                 return {"n": n, "nModified": n, "upserted": None}
             row, made = self._upsert(query, update, operators)
@@ -351,18 +361,19 @@ class Collection:
 
         def statement(old: Version):
             rows = self._matches(old, query)
-            read = lambda version, value: finding.find(self._frame(version), {ID: value}, fields).first()
-            first = finding.find(rows, query, sort={ID: 1}, limit=1).select(ID).first()
+            read = lambda version, key: self._find(self._frame(version).filter(F.col(self.key) == F.lit(key)), {}, fields).first()
+            found = finding.sort_by(finding.match(rows, finding.unwrap(query)[0], self.variant), {ID: 1}, self.variant)
+            first = found.select(self.key).first()
             if first is None:
                 if not (update and upsert):
                     return None
-                row, made = self._upsert(query or {}, update, operators)
+                row, _ = self._upsert(query or {}, update, operators)
                 now, _ = self._add(old, row)
-                return read(now, made) if new else None
-            before = read(old, first[ID])
-            change = (lambda df, hit: df.filter(~hit)) if remove else (lambda df, hit: updating.apply_update(df, hit, update, ID))
-            now, _ = self._rewrite(old, {ID: first[ID]}, 1, change)
-            return read(now, first[ID]) if new and not remove else before
+                return read(now, row.select(self.key).first()[0]) if new else None
+            before = read(old, first[0])
+            change = (lambda df, hit: df.filter(~hit)) if remove else (lambda df, hit: self._changed(df, hit, update))
+            now, _ = self._rewrite(old, {self.key: first[0]}, 1, change)
+            return read(now, first[0]) if new and not remove else before
 
         return self._retry(statement)
 
