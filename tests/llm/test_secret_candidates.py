@@ -47,6 +47,12 @@ def test_candidates_of_every_class_are_scored(spark):
 def test_words_are_no_secrets(spark):
     texts = [
         "keitstlichschenverpfeinungtzheit", "getElementByIdFromTheDocument", "AbstractSingletonProxyFactoryBean",
-        "state-of-the-art-methods", "a" * 200, "ein" * 30, "-" * 60, "Rindfleisch-Etikettierung-Gesetz",
+        "state-of-the-art-methods", "z" * 200, "ein" * 30, "-" * 60, "Rindfleisch-Etikettierung-Gesetz",
     ]
     assert found(spark, texts) == [False] * len(texts)
+
+
+def test_a_run_of_one_hex_digit_is_a_base_match_only(spark):
+    df = spark.createDataFrame([(1, "a" * 200)], "doc_id long, text string")
+    spans = X.find_secrets(df).first()["spans"]
+    assert [(X.KINDS[s["kind"]], s["start"], s["end"]) for s in spans] == [("hex", 0, 200)]
