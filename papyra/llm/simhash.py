@@ -221,7 +221,8 @@ def links_between(prints: DataFrame, distance: int = DISTANCE, block: int = BLOC
     # About 96 keys a fingerprint: dealt evenly first, so that many tasks make them. Both uses of the keys share the deal.
     keys = spread(prints.select("print"), prints.count()).mapInArrow(_emit_keys, "key long, print long")
     sizes = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = keys.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    # Spark takes the keys for little more than their fingerprints, and would broadcast them all through the driver.
+    shared = keys.hint("merge").join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     own = F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int")
     shared = shared.select("key", "print", "blocks", own.alias("own"))
     # A block meets every block of its key, and itself where there is only one.

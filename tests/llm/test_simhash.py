@@ -7,6 +7,7 @@ import xxhash
 from papyra.llm import components as C
 from papyra.llm import simhash as S
 from papyra.llm.queries import op3_simhash
+from pyspark.sql import functions as F
 
 
 def slow_print(text):
@@ -89,6 +90,14 @@ def test_split_keys_lose_no_link(spark):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
 
 
+def test_keys_are_not_broadcast(spark):
+    """Spark estimates about one key a fingerprint; by that all keys would pass through the driver."""
+    links = S.links_between(spark.range(2000).select(F.xxhash64("id").alias("print")))
+    links.collect()
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+
+
 @pytest.mark.parametrize("limit", [10**6, 0])
 def test_components_both_ways(spark, limit):
     rnd = random.Random(limit)
