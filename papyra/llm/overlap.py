@@ -243,7 +243,8 @@ def links_by_overlap(nodes: DataFrame, make_sets, similarity: float = SIMILARITY
     prepare(nodes.sparkSession)
     keys = candidate_keys(nodes)
     sizes = keys.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("first")).filter("m > 1")
-    met = checkpoint(keys.join(sizes, "key"))  # the adaptive join splits hot keys
+    # Spark estimates the keys too low to broadcast them safely; the adaptive merge join splits hot keys.
+    met = checkpoint(keys.hint("merge").join(sizes, "key"))
     sets = checkpoint(make_sets(met.select("node").distinct()))
     found = checkpoint(_with_first(met, sets, similarity, block))
     return found.unionByName(_with_rest(met, found, sets, similarity, block))

@@ -115,3 +115,19 @@ def test_hot_and_cold_first_nodes_are_cut_into_blocks(spark):
     for block in (61 * 8 * 4, O.BLOCK_BYTES):
         links = {tuple(sorted((r["a"], r["b"]))) for r in O._with_first(met, held, 0.8, block).collect()}
         assert links == {(first, node) for _, first, node, _ in rows if node != first}
+
+
+def test_keys_are_not_broadcast(spark, monkeypatch):
+    """Spark's estimate of the keys does not count those of a node; by it they would all pass through the driver."""
+    plans = {}
+
+    def noted(df, checkpoint=O.checkpoint):
+        made = checkpoint(df)
+        plans[tuple(df.columns)] = df._jdf.queryExecution().executedPlan().toString()
+        return made
+
+    monkeypatch.setattr(O, "checkpoint", noted)
+    corpus_pipeline.near_dedup(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF).count()
+    plan = plans["key", "node", "n", "m", "first"].split("Initial Plan")[0]
+    top = plan[: plan.index("Union")]  # the join of the keys; below are those that make them
+    assert "SortMergeJoin" in top and "BroadcastExchange" not in top and "BroadcastHashJoin" not in top
