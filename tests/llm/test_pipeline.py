@@ -54,3 +54,37 @@ def test_secret_stage_counts_anew(spark, documents):
         assert r["n_chars"] == len(r["text"])
         if not spans[r["doc_id"]]:
             assert r == before[r["doc_id"]]
+
+
+#: A function with 200 MB in small pieces, that holds itself in a cycle like a model with its memos; a later piece keeps the heap's end in use.
+HELD = """
+import re
+from papyra.llm.common import _made
+
+def resident():
+    return int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read())[1]) // 1024
+
+class Large:
+    def __init__(self):
+        self.memo, self.own = [bytes(1000) for _ in range(200_000)], self.run
+
+    def run(self, texts):
+        return texts
+
+least = resident()
+_made("large", Large, ())
+held, last = resident(), bytes(1000)
+_made("small", lambda: len, ())
+print(least, held, resident())
+"""
+
+
+def test_a_worker_gives_back_what_an_earlier_stage_held():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = str(Path(corpus_pipeline.__file__).parent)
+    least, held, after = map(int, subprocess.run([sys.executable, "-c", HELD], cwd=root, capture_output=True, text=True, check=True).stdout.split())
+    assert held - least > 150
+    assert after - least < 50
