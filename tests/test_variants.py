@@ -121,3 +121,19 @@ def test_updates_of_values_of_other_kinds(spark, doc, update, code):
 def test_the_current_date(spark):
     new = apply_variant_update(frame(spark, "{}"), F.lit(True), {"$currentDate": {"t": True}}, "doc")
     assert new.select(F.schema_of_variant(F.try_variant_get("doc", "$.t", "variant"))).first()[0].startswith("TIMESTAMP")
+
+
+@pytest.mark.parametrize(
+    "update",
+    [
+        lambda n: {"$inc": {f"f{i}": 1 for i in range(n)}}, lambda n: {"$max": {f"f{i}": 1 for i in range(n)}},
+        lambda n: {"$set": {f"f{i}": 1 for i in range(n)}}, lambda n: {"$unset": {f"f{i}": "" for i in range(n)}},
+        lambda n: {"$rename": {f"f{i}": f"g{i}" for i in range(n)}}, lambda n: {"$pop": {f"f{i}": 1 for i in range(n)}},
+        lambda n: {"$addToSet": {"f": {"$each": list(range(n))}}}, lambda n: {"$set": {"f" + n * ".0": 1}},
+    ],
+)
+def test_expressions_grow_by_addition(spark, update):
+    """Every further operator, value or step of a path adds as much as the one before."""
+    docs = frame(spark, DOC)
+    one, two, three = (len(apply_variant_update(docs, F.lit(True), update(n), "doc")._jdf.queryExecution().analyzed().toString()) for n in (1, 2, 3))
+    assert three - two < 1.5 * (two - one)
