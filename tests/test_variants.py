@@ -137,3 +137,17 @@ def test_expressions_grow_by_addition(spark, update):
     docs = frame(spark, DOC)
     one, two, three = (len(apply_variant_update(docs, F.lit(True), update(n), "doc")._jdf.queryExecution().analyzed().toString()) for n in (1, 2, 3))
     assert three - two < 1.5 * (two - one)
+
+
+def test_many_operators_of_one_statement(spark):
+    n = 12
+    doc = {"a": {f"k{i}": i for i in range(n)}, "l": [[1], 2], "m": {f"x{i}": i for i in range(n)}, "s": [1]}
+    update = {
+        "$inc": {f"a.k{i}": 1 for i in range(n)} | {"l.0.0": 5}, "$set": {f"b.c.d{i}": i for i in range(n)}, "$max": {f"n{i}": i for i in range(n)},
+        "$rename": {f"m.x{i}": f"y{i}" for i in range(n)}, "$unset": {f"q.r{i}": "" for i in range(n)}, "$addToSet": {"s": {"$each": list(range(n))}},
+    }
+    want = {
+        "a": {f"k{i}": i + 1 for i in range(n)}, "l": [[6], 2], "m": {}, "s": [1, 0, *range(2, n)], "b": {"c": {f"d{i}": i for i in range(n)}},
+        **{f"n{i}": i for i in range(n)}, **{f"y{i}": i for i in range(n)},
+    }
+    assert shown(apply_variant_update(frame(spark, json.dumps(doc)), F.lit(True), update, "doc")) == [want]
